@@ -14,6 +14,8 @@ from .common import Workspace, lookup, squeeze
 
 _KEYS = ["digest", "check", "n_chars_norm"]
 _ENTRY = "slice int, grp int, digest binary, check bigint, n_chars_norm int, id bigint, row bigint, n bigint"
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in map(str.split, _ENTRY.split(", "))])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -23,7 +25,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_arrays(batch.columns, schema=_ARROW)
         table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
         if not table.num_rows:
             continue
