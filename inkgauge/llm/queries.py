@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, fingerprints, language_id, licences, packing, sharding
+from . import byte_bpe, chat, exact_dedup, fingerprints, language_id, licences, near_dedup, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = near_dedup.near_components(_table(spark, sf_dir, "documents"), words=4, percent=80)
+    return done.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("word_bpe_49k.json"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,
