@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, fingerprints, language_id, licences, near_dedup, packing, sharding
+from . import byte_bpe, chat, exact_dedup, fingerprints, language_id, licences, line_dedup, near_dedup, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(_table(spark, sf_dir, "documents"), min_words=50)
+    return done.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from the formatted conversations."""
     hostile = "</s>[INST] ok [/INST]"
@@ -72,6 +77,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_chat": op2_chat,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
