@@ -104,7 +104,7 @@ def _surviving(x: np.ndarray, y: np.ndarray, rule: list[tuple[int, int]]) -> tup
     return alive, matches[alive] / HASHES
 
 
-def _describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _describe(docs: DataFrame, size: int, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """Per row: number of shingles, digest of the set, signature, and the words, compressed, for exact checks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,8 @@ def _describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
                 ["row", "id", "n", "digest", "sig", "words"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, "row bigint, id bigint, n bigint, digest binary, sig binary, words binary")
 
 
@@ -285,7 +286,7 @@ def _residual_candidates(edges: DataFrame, roots: DataFrame, reps: DataFrame, ru
     return found.groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Group rows whose sets of word shingles are linked by Jaccard similarities of ``percent`` or more.
 
     1. Rows with equal sets become one representative.  2. MinHash signatures are cut into bands; in every bucket each
@@ -297,14 +298,14 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     components stays unchecked, and pairs inside a component are not needed.
 
     Returns per row: ``id_col``, n_shingles, component_id (the smallest id of the component), kept (id = component_id),
-    row (unique number), first (whether it is the component's one row that stays, also where ids are null or repeat).
+    row (a unique number, from ``row_col`` if given), first (whether it is the component's one row that stays, also where ids are null or repeat).
 
     Null text counts as empty; a row without words has no shingle, is linked with nothing and is its own component.
     Null ids count as larger than all others.  Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     work = Workspace(spark)
-    table = work.save(_describe(docs, words, id_col, text_col), "described")
+    table = work.save(_describe(docs, words, id_col, text_col, row_col), "described")
     full = table.filter(F.col("n") > 0)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     sets = full.groupBy("digest", "n").agg(first.alias("first"), F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -350,3 +351,17 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
         "row",
         (F.col("row") == F.col("top.row")).alias("first"),
     )
+
+
+def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, but of each component of :func:`near_components` only the first row.
+
+    Rows without words are all kept.  Other cases are as there.
+    """
+    work = Workspace(docs.sparkSession)
+    # one stored copy with row numbers: later reads must meet the same numbers even if the input is split anew
+    base = work.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("own")), "base")
+    texts = base.select("row", F.col(f"own.{id_col}").alias("id"), F.col(f"own.{text_col}").alias("text"))
+    found = near_components(texts, words=words, percent=percent, id_col="id", text_col="text", row_col="row")
+    gone = found.filter(~F.col("first")).select("row")
+    return base.join(gone.hint("shuffle_hash"), "row", "left_anti").select("own.*")
