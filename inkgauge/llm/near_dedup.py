@@ -21,7 +21,7 @@ HASHES = BANDS * ROWS
 #: Hashes compared at a time before a pair's posterior is looked at again.
 STEP = 32
 #: Members of a bucket that are compared as one block.
-BLOCK = 512
+BLOCK = 2048
 
 _rng = np.random.default_rng(20_240_229)
 _ODD = (_rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)).astype(np.uint64)
@@ -108,7 +108,7 @@ def _describe(docs: DataFrame, size: int, id_col: str, text_col: str, row_col: s
     """Per row: number of shingles, digest of the set, signature, and the words, compressed, for exact checks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             texts = batch["text"].to_pylist()
             counts, digests, signatures, packed = [], [], [], []
@@ -171,24 +171,67 @@ def _join_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(keys[~head], nodes[~head], centers[~head])
 
 
-def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of one (key, low, high) at a time, from sorted batches: node, comp, n, part, signatures."""
+def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (node, comp, n, part, sig, words) of one (key, low, high) at a time, from sorted batches."""
     held: list[tuple] = []
     open_key = None
     for batch in batches:
-        for row in zip(*(batch[name].to_pylist() for name in ("key", "low", "high", "node", "comp", "n", "part", "sig"))):
+        for row in zip(*(batch[name].to_pylist() for name in ("key", "low", "high", "node", "comp", "n", "part", "sig", "words"))):
             if row[:3] != open_key and held:
-                yield _columns(held)
+                yield held
                 held = []
             open_key = row[:3]
             held.append(row[3:])
     if held:
-        yield _columns(held)
-
-
-def _columns(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    *rest, sigs = zip(*rows)
-    return *map(np.array, rest), np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
+        yield held
+
+
+class _Block:
+    """Members of a bucket, and which of their components are joined so far."""
+
+    def __init__(self, rows: list[tuple], size: int, percent: int, rule: list[tuple[int, int]]):
+        self.node, self.comp, self.n, self.part, sigs, self.words = (list(c) for c in zip(*rows))
+        self.sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
+        self.sizes, self.parts = np.array(self.n), np.array(self.part)
+        self.top = {c: c for c in self.comp}
+        self.size, self.percent, self.rule, self.sets = size, percent, rule, {}
+
+    def root(self, comp: int) -> int:
+        while self.top[comp] != comp:
+            self.top[comp] = comp = self.top[self.top[comp]]
+        return comp
+
+    def shingles(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingles(zstandard.ZstdDecompressor().decompress(self.words[i]).split(), self.size)
+        return self.sets[i]
+
+    def linked(self, i: int, j: int) -> bool:
+        return _similar(self.shingles(i), self.shingles(j), self.percent)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """True links that join components: a spanning forest of what the block connects."""
+        across = len(set(self.part)) > 1  # pairs within a part belong to the part's own group
+        for i in range(len(self.node) - 1):
+            rest = np.arange(i + 1, len(self.node))
+            fit = _sizes_fit(self.sizes[rest], self.sizes[i], self.percent)
+            if across:
+                fit &= self.parts[rest] != self.parts[i]
+            mine = self.root(self.comp[i])
+            rest = [j for j in rest[fit].tolist() if self.root(self.comp[j]) != mine]
+            if not rest:
+                continue
+            alive, est = _surviving(np.broadcast_to(self.sig[i], (len(rest), HASHES)), self.sig[rest], self.rule)
+            for k in alive[np.argsort(-est, kind="stable")].tolist():
+                one, two = self.root(self.comp[i]), self.root(self.comp[rest[k]])
+                if one != two and self.linked(i, rest[k]):
+                    self.top[max(one, two)] = min(one, two)
+                    yield self.node[i], self.node[rest[k]]
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
 
 
 class _Verifier:
@@ -228,9 +271,7 @@ class _Verifier:
                 for a, b, wa, wb in zip(*(batch[x].to_pylist() for x in ("a", "b", "wa", "wb"))):
                     if a != last[0]:
                         last = a, shingles(unpack(wa).split(), size)
-                    one, two = last[1], shingles(unpack(wb).split(), size)
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(one) + len(two) - both))
+                    keep.append(_similar(last[1], shingles(unpack(wb).split(), size), percent))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         one = self.reps.select(F.col("row").alias("a"), F.col("words").alias("wa"))
@@ -246,14 +287,14 @@ def _with_roots(pairs: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
     return pairs
 
 
-def _residual_candidates(edges: DataFrame, roots: DataFrame, reps: DataFrame, rule: list[tuple[int, int]], percent: int) -> DataFrame:
-    """Pairs of different components in one bucket, from all pairs of such buckets' members, block by block.
+def _residual_links(edges: DataFrame, roots: DataFrame, reps: DataFrame, size: int, percent: int, rule: list[tuple[int, int]]) -> DataFrame:
+    """Links (a, b) between components, from all pairs of the members of every bucket that has more than one.
 
-    A star shows all links of a bucket only if all of its edges held; other buckets are compared in full, here.  Pairs are
-    compared inside a block and only survivors are rows.  Buckets of equal members are compared once.
+    A star shows all links of a bucket only if each of its edges holds; other buckets are compared in full, here: blocks of
+    members meet in one task, are pruned by their signatures and verified on their sets, and only links that join
+    components become rows, fewer than there are members.  Buckets of equal members are compared once.
     """
-    open_edges = _with_roots(edges, roots, "node", "center").filter(F.col("cnode") != F.col("ccenter"))
-    open_keys = open_edges.select("key").distinct()
+    open_keys = _with_roots(edges, roots, "node", "center").filter(F.col("cnode") != F.col("ccenter")).select("key").distinct()
     members = edges.join(open_keys, "key", "left_semi")
     members = members.select("key", "node").unionByName(members.select("key", F.col("center").alias("node"))).distinct()
     alike = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
@@ -261,29 +302,19 @@ def _residual_candidates(edges: DataFrame, roots: DataFrame, reps: DataFrame, ru
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
     members = members.join(buckets.select("key", blocks.alias("blocks")), "key")
     members = _with_roots(members, roots, "node").withColumnRenamed("cnode", "comp")
-    members = members.join(reps.select(F.col("row").alias("node"), "n", "sig"), "node")
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    members = members.join(reps.select(F.col("row").alias("node"), "n", "sig", "words"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, comp, n, own, sig in _bucket_groups(batches):
-            across = len(set(own.tolist())) > 1
-            for i in range(len(node) - 1):
-                rest = np.arange(i + 1, len(node))
-                other = rest[(comp[rest] != comp[i]) & _sizes_fit(n[rest], n[i], percent)]
-                if across:  # pairs within a block belong to the block's own group
-                    other = other[own[other] != own[i]]
-                if not len(other):
-                    continue
-                alive, est = _surviving(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], rule)
-                if len(alive):
-                    x, y = np.minimum(node[i], node[other[alive]]), np.maximum(node[i], node[other[alive]])
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(est, pa.float64())], ["a", "b", "est"])
+        for rows in _bucket_groups(batches):
+            if found := list(_Block(rows, size, percent, rule).links()):
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = members.select("key", "low", "high", "node", "comp", "n", "part", "sig").repartition("key", "low", "high")
-    found = dealt.sortWithinPartitions("key", "low", "high", "node").mapInArrow(run, "a bigint, b bigint, est double")
-    return found.groupBy("a", "b").agg(F.max("est").alias("est"))
+    dealt = members.select("key", "low", "high", "node", "comp", "n", "part", "sig", "words").repartition("key", "low", "high")
+    return dealt.sortWithinPartitions("key", "low", "high", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -292,10 +323,9 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     1. Rows with equal sets become one representative.  2. MinHash signatures are cut into bands; in every bucket each
     member is paired with the bucket's first (a star; combined within a batch before the shuffle, so a bucket of any
     size is no bottleneck).  3. Pairs are compared batch by batch of hashes and dropped once the posterior probability of
-    being similar falls below ``miss``.  4. Survivors are verified on their full shingle sets, first one per document,
-    then those still between components.  5. Buckets whose members are still in different components are compared in
-    full, in blocks; survivors are verified, first the best per pair of components.  So no candidate pair of different
-    components stays unchecked, and pairs inside a component are not needed.
+    being similar falls below ``miss``.  4. Each document's likeliest pair is verified on the full shingle sets.  5. Buckets
+    whose members are still in different components are compared in full, in blocks, pruned and verified in the same way.
+    So every candidate pair of different components is decided, and pairs inside a component are not needed.
 
     Returns per row: ``id_col``, n_shingles, component_id (the smallest id of the component), kept (id = component_id),
     row (a unique number, from ``row_col`` if given), first (whether it is the component's one row that stays, also where ids are null or repeat).
@@ -310,31 +340,22 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     sets = full.groupBy("digest", "n").agg(first.alias("first"), F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = work.save(sets, "sets")
-    reps = work.save(full.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "sig", "words"), "reps")
-    check = _Verifier(reps, work, words, percent, miss)
-
-    stars = reps.select("row", "sig").mapInArrow(_local_stars, _EDGE)
+    first_rows = full.select("row", "sig").join(sets.select(F.col("rep").alias("row")), "row", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = stars.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_join_stars, _EDGE)
-    edges = work.save(edges, "edges")
+    stars = first_rows.mapInArrow(_local_stars, _EDGE).repartition(parts, "key").sortWithinPartitions("key", "node")
+    edges = work.save(stars.mapInArrow(_join_stars, _EDGE), "edges")
+    met = edges.select("node").unionByName(edges.select(F.col("center").alias("node"))).distinct()
+    # only documents that share a bucket are looked at again
+    reps = full.select("row", "n", "sig", "words").join(met.select(F.col("node").alias("row")), "row", "left_semi")
+    reps = work.save(reps, "reps")
+    check = _Verifier(reps, work, words, percent, miss)
     pairs = edges.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     likely = work.save(check.prune(pairs), "likely")
-
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
     links = work.save(check.confirm(best), "links0")
     roots = components(links, work, "roots0_")
-    rest = _with_roots(likely.join(best, ["a", "b"], "left_anti"), roots, "a", "b").filter(F.col("ca") != F.col("cb"))
-    links = links.unionByName(work.save(check.confirm(rest), "links1"))
-    roots = components(links, work, "roots1_")
-
-    more = _residual_candidates(edges, roots, reps, check.rule, percent).join(likely, ["a", "b"], "left_anti")
-    more = work.save(_with_roots(more, roots, "a", "b"), "more")
-    best = more.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.*")
-    links = links.unionByName(work.save(check.confirm(best), "links2"))
-    roots = components(links, work, "roots2_")
-    rest = _with_roots(more.select("a", "b").join(best, ["a", "b"], "left_anti"), roots, "a", "b").filter(F.col("ca") != F.col("cb"))
-    links = links.unionByName(work.save(check.confirm(rest), "links3"))
-    roots = components(links, work, "roots3_")
+    more = work.save(_residual_links(edges, roots, reps, words, percent, check.rule), "links1")
+    roots = components(links.unionByName(more), work, "roots1_")
 
     sets = sets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     sets = work.save(sets, "rooted")
