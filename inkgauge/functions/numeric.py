@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import as_column as _col
+from .binding import let
+
 #: Probabilities are raised to this inside the logarithm of the entropy, and only there.
 ENTROPY_FLOOR = 1e-9
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def round_exact(c: Column | str, places: int) -> Column:
     """Round the exact binary value, halves to even, as Python's ``round``.
 
     Scaled by 10^places the value is a product p with a rounding error e, which two-part multiplication gives exactly;
     only where p lies on a half does the sign of e decide.
     """
-    c = _col(c).cast("double")
     scale = float(10**places)
-    p = c * scale
-    split = c * 134217729.0  # 2^27 + 1 cuts a double into two halves
-    high = split - (split - c)
-    e = (high * scale - p) + (c - high) * scale
-    low = F.floor(p).cast("double")
-    tie = (p - low) == 0.5
-    n = F.when(tie & (e > 0), low + 1).when(tie & (e < 0), low).otherwise(F.rint(p))
-    return n / scale
+
+    def error(x: Column) -> Column:
+        split = x * 134217729.0  # 2^27 + 1 cuts a double into two halves
+        high = split - (split - x)
+        return (high * scale - x * scale) + (x - high) * scale
+
+    def rounded(x: Column) -> Column:
+        low = F.floor(x * scale).cast("double")
+        tie = (x * scale - low) == 0.5
+        exact = F.when(error(x) > 0, low + 1).when(error(x) < 0, low).otherwise(F.rint(x * scale))
+        return F.when(tie, exact).otherwise(F.rint(x * scale)) / scale
+
+    return let(_col(c).cast("double"), rounded)
 
 
 def safe_divide(a: Column, b: Column) -> Column:
@@ -38,40 +41,38 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 def softmax(logits: Column | str) -> Column:
     """Probabilities of an array of logits; an error where a logit is NaN or infinite."""
-    x = _col(logits)
-    bad = F.exists(x, lambda v: F.isnan(v) | (F.abs(v) == float("inf")) | v.isNull())
-    top = F.array_max(x)
-    powers = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, v: s + v)
-    checked = F.when(bad, F.raise_error(F.lit("non-finite logits")).cast("array<double>")).otherwise(powers)
-    return F.transform(checked, lambda v: v / total)
+
+    def powers(x: Column) -> Column:
+        bad = F.exists(x, lambda v: F.isnan(v) | (F.abs(v) == float("inf")) | v.isNull())
+        some = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+        return F.when(bad, F.raise_error(F.lit("non-finite logits")).cast("array<double>")).otherwise(some)
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(let(logits, powers), shares)
 
 
 def expected_score(probs: Column | str) -> Column:
     """Expected bucket over the last bucket's number: 0 to 1."""
-    p = _col(probs)
-    weighted = F.transform(p, lambda v, i: v * i)
-    return F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v) / (F.size(p) - 1)
+    return let(probs, lambda p: F.aggregate(F.transform(p, lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v) / (F.size(p) - 1))
 
 
 def confidence(probs: Column | str) -> Column:
     """One minus the entropy relative to that of the flat distribution."""
-    p = _col(probs)
-    terms = F.transform(p, lambda v: v * F.ln(F.greatest(v, F.lit(ENTROPY_FLOOR))))
-    return 1.0 + F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / F.ln(F.size(p).cast("double"))
+    term = lambda v: v * F.ln(F.greatest(v, F.lit(ENTROPY_FLOOR)))
+    return let(probs, lambda p: 1.0 + F.aggregate(p, F.lit(0.0), lambda s, v: s + term(v)) / F.ln(F.size(p).cast("double")))
 
 
 def argmax(probs: Column | str) -> Column:
     """First index of the largest value."""
-    p = _col(probs)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(probs, lambda p: (F.array_position(p, F.array_max(p)) - 1).cast("int"))
 
 
 def score_to_bucket(score: Column | str, *, low: float = 0.03, high: float = 0.15, n_buckets: int = 4) -> Column:
     """Ordinal bucket of a similarity score: ends closed, equal steps between."""
-    s = _col(score)
-    inner = 1 + F.floor((s - low) / (high - low) * (n_buckets - 2))
-    return F.when(s <= low, 0).when(s >= high, n_buckets - 1).otherwise(inner).cast("int")
+    inner = lambda s: 1 + F.floor((s - low) / (high - low) * (n_buckets - 2))
+    return let(score, lambda s: F.when(s <= low, 0).when(s >= high, n_buckets - 1).otherwise(inner(s)).cast("int"))
 
 
 def percent(c: Column | str) -> Column:
@@ -81,5 +82,5 @@ def percent(c: Column | str) -> Column:
 
 def fixed(c: Column | str, places: int = 3) -> Column:
     """Fixed decimals, a dash for null and NaN."""
-    c = _col(c).cast("double")
-    return F.when(c.isNull() | F.isnan(c), "—").otherwise(F.format_string(f"%.{places}f", round_exact(c, places)))
+    shown = lambda x: F.format_string(f"%.{places}f", round_exact(x, places))
+    return let(_col(c).cast("double"), lambda x: F.when(x.isNull() | F.isnan(x), "—").otherwise(shown(x)))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import as_column as _col
+from .binding import let
 from .emoji import EMOJI_CLASS, emoji_names
 
 #: The 29 code points that count as white space, as a character class for the JVM's regex.
@@ -20,15 +21,6 @@ BOILERPLATE = ("Sure", "Here", "Abstract", "Title", "I'm happy to help", "Certai
 PREVIEW_RESULT, PREVIEW_SAMPLE, PREVIEW_CHUNK, PREVIEW_WIRE_CHUNK = 60, 80, 160, 120
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def strip(c: Column | str) -> Column:
     """Remove white space at both ends."""
     return F.regexp_replace(F.regexp_replace(_col(c), f"^{SPACE}+", ""), f"{SPACE}+\\z", "")

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 #: Colours by position. Fixed values.
 COLOURS = ("green", "yellow", "dark_orange", "red", "red")
 KIND = "inkgauge-bands"
@@ -37,11 +39,14 @@ def band_for(score: float, bands: Sequence[Band] = DEFAULT) -> Band:
 
 def band_label(score: Column | str, bands: Sequence[Band] = DEFAULT) -> Column:
     """The same as an expression; null for null. Five bounds cost less than any join."""
-    s = F.col(score) if isinstance(score, str) else score
-    chain = F.when(s.isNull(), F.lit(None).cast("string"))
-    for band in bands[:-1]:
-        chain = chain.when((s < band.below) & ~F.isnan(s), band.label)
-    return chain.otherwise(bands[-1].label)
+
+    def chain(s: Column) -> Column:
+        cases = F.when(s.isNull(), F.lit(None).cast("string"))
+        for band in bands[:-1]:
+            cases = cases.when((s < band.below) & ~F.isnan(s), band.label)
+        return cases.otherwise(bands[-1].label)
+
+    return let(score, chain)
 
 
 def band_table(spark: SparkSession, bands: Sequence[Band] = DEFAULT) -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.numeric import round_exact
 from ..functions.text import PREVIEW_CHUNK, PREVIEW_WIRE_CHUNK, clean_text, preview, words
 from ..scorers import add_scores
@@ -28,15 +29,18 @@ WIRE_CHUNK = ("index", "score", "band", "n_words", "word_start", "word_end", "co
 
 def _weighted(chunks: Column, name: str) -> Column:
     """Mean of a chunk field by words, summed in the order of the chunks so that it is the same everywhere."""
-    total = F.aggregate(chunks, F.lit(0.0), lambda s, c: s + c[name] * c["n_words"])
-    return F.try_divide(total, F.aggregate(chunks, F.lit(0), lambda s, c: s + c["n_words"]).cast("double"))
+
+    def mean(some: Column) -> Column:
+        total = F.aggregate(some, F.lit(0.0), lambda s, c: s + c[name] * c["n_words"])
+        return F.try_divide(total, F.aggregate(some, F.lit(0), lambda s, c: s + c["n_words"]).cast("double"))
+
+    return let(chunks, mean)
 
 
 def chunk_array(windows: str, scores: str, bands: Sequence[Band]) -> Column:
     """Windows and their scores as chunk results: band from the score as it is, numbers rounded to 4 places."""
 
-    def chunk(w: Column, i: Column) -> Column:
-        s = F.get(scores, i)
+    def chunk(w: Column, s: Column) -> Column:
         return F.struct(
             w["index"].alias("index"),
             round_exact(s["score"], 4).alias("score"),
@@ -51,7 +55,26 @@ def chunk_array(windows: str, scores: str, bands: Sequence[Band]) -> Column:
             F.substring(w["text"], 1, PREVIEW_CHUNK).alias("preview"),
         )
 
-    return F.transform(windows, chunk)
+    return F.zip_with(windows, scores, chunk)
+
+
+def chunk_rows(scored: DataFrame, *keys: str, bands: Sequence[Band] = DEFAULT) -> DataFrame:
+    """One row per chunk, from rows with windows and scores: the fields of :func:`chunk_array` without probabilities."""
+    pairs = scored.select(*keys, F.explode_outer(F.arrays_zip("windows", "scores")).alias("z")).select(*keys, "z.windows.*", "z.scores.*")
+    pairs = pairs.filter(F.col("index").isNotNull())  # behind the generator: see explode_windows
+    return pairs.select(
+        *keys,
+        "index",
+        round_exact("score", 4).alias("score"),
+        "bucket",
+        band_label("score", bands).alias("band"),
+        "n_words",
+        "word_start",
+        "word_end",
+        round_exact("confidence", 4).alias("confidence"),
+        "truncated",
+        F.substring("text", 1, PREVIEW_CHUNK).alias("preview"),
+    )
 
 
 def scored_windows(docs: DataFrame, scorer: Any, *, text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -82,8 +105,8 @@ def detect(
     step = step.withColumn("__score", F.coalesce(_weighted(F.col("chunks"), "score"), F.lit(0.0)))
     step = step.withColumn("__sure", F.coalesce(_weighted(F.col("chunks"), "confidence"), F.lit(0.0)))
     reliable = F.col("n_words") >= min_words
-    top = F.array_max(F.transform("chunks", lambda c: c["score"]))
-    first_top = F.get(F.filter("chunks", lambda c: c["score"] == top), F.lit(0))["index"]
+    # the position of the largest score is the index of its first chunk
+    first_top = let(F.transform("chunks", lambda c: c["score"]), lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1)
     return step.select(
         *keys,
         round_exact("__score", 4).alias("score"),
@@ -104,12 +127,15 @@ def detect(
 
 def weighted_probs(chunks: Column | str) -> Column:
     """Mean of the chunks' probability vectors by words; empty array without chunks."""
-    c = F.col(chunks) if isinstance(chunks, str) else chunks
-    total = F.aggregate(c, F.lit(0), lambda s, x: s + x["n_words"]).cast("double")
-    width = F.size(F.get(c, F.lit(0))["probs"])
-    zero = F.array_repeat(F.lit(0.0), F.coalesce(width, F.lit(0)))
-    summed = F.aggregate(c, zero, lambda s, x: F.zip_with(s, x["probs"], lambda a, p: a + p * x["n_words"]))
-    return F.when(F.size(c) > 0, F.transform(summed, lambda v: v / total)).otherwise(F.array().cast("array<double>"))
+
+    def mean(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0), lambda s, x: s + x["n_words"]).cast("double")
+        width = F.coalesce(F.size(F.get(c, F.lit(0))["probs"]), F.lit(0))
+        summed = F.aggregate(c, F.array_repeat(F.lit(0.0), width), lambda s, x: F.zip_with(s, x["probs"], lambda a, p: a + p * x["n_words"]))
+        shares = let(total, lambda n: F.transform(summed, lambda v: v / n))
+        return F.when(F.size(c) > 0, shares).otherwise(F.array().cast("array<double>"))
+
+    return let(chunks, mean)
 
 
 def wire(results: DataFrame) -> DataFrame:

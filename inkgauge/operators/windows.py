@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 WINDOW_WORDS = 350
 
 
 def window_array(words: Column | str, size: int = WINDOW_WORDS) -> Column:
     """Array of (index, text, n_words, word_start, word_end); empty for no words, null for null."""
-    w = F.col(words) if isinstance(words, str) else words
-    n = F.size(w)
 
-    def window(start: Column, i: Column) -> Column:
-        end = F.least(start + size, n)
+    def window(w: Column, start: Column, i: Column) -> Column:
+        end = F.least(start + size, F.size(w))
         return F.struct(
             i.cast("int").alias("index"),
             F.array_join(F.slice(w, start + 1, size), " ").alias("text"),
@@ -23,15 +23,21 @@ def window_array(words: Column | str, size: int = WINDOW_WORDS) -> Column:
             end.cast("int").alias("word_end"),
         )
 
-    # the generator never sees an empty range: sequence() would count downwards
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
-    none = F.transform(F.slice(starts, 1, 0), window)
-    return F.when(w.isNull(), F.lit(None)).when(n > 0, F.transform(starts, window)).otherwise(none)
+    def windows(w: Column) -> Column:
+        # for no words the sequence has one start, which the slice takes away: sequence() would count downwards
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
+        return F.transform(F.slice(starts, 1, F.ceil(F.size(w) / size).cast("int")), lambda start, i: window(w, start, i))
+
+    return let(words, lambda w: F.when(w.isNotNull(), windows(w)))
 
 
 def explode_windows(df: DataFrame, *keys: str, windows_col: str = "windows") -> DataFrame:
-    """One row per window, with the named key columns."""
-    return df.select(*keys, F.inline(windows_col))
+    """One row per window, with the named key columns.
+
+    The outer form, and a filter behind it: for the plain form the optimizer infers a filter on the array's size and pushes
+    it below the projections, so that the whole cleaning is computed twice.
+    """
+    return df.select(*keys, F.inline_outer(windows_col)).filter(F.col("index").isNotNull())
 
 
 def regroup(df: DataFrame, *keys: str, as_col: str = "chunks") -> DataFrame:
