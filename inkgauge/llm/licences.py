@@ -15,7 +15,7 @@ MAX_BROADCAST = 20_000
 
 #: A line that only names who holds the copyright, or that reserves rights.
 COPYRIGHT_LINE = (
-    r"(?:^|\n)[^a-z0-9\n]*(?:(?:copyright[ \t]*)?(?:\(c\)|©|copyright[ \t]+[0-9])|all rights reserved[^a-z0-9\n]*(?:\n|$)|spdx-)[^\n]*"
+    r"(?:^|\n)[^a-z0-9\n]*(?:(?:(?:copyright[ \t]*)?(?:\(c\)|©|copyright[ \t]+[0-9])|spdx-)[^\n]*|all rights reserved[^a-z0-9\n]*)"
 )
 
 #: Spellings that count as equal, British first (parts of words, so that endings follow). Fixed values.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, exact_dedup, fingerprints, language_id, licences, line_dedup, near_dedup, packing, sharding
+from .licence_texts import LICENCES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,10 +90,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licences": op10_licences,
 }
 
+def _canonical_sql(text: str) -> str:
+    """The canonical form of licences.canonical in DuckDB's SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"regexp_replace(lower(coalesce({text}, '')), {quote(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    for one, other in licences.SPELLINGS.items():
+        out = f"replace({out}, {quote(one)}, {quote(other)})"
+    return f"trim({out})"
+
+
+def _licence_rows() -> str:
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(LICENCES.items()))
+
+
+_ESCAPED = r"regexp_replace(regexp_replace(replace({}, '\', '\\'), '<(\||/?s>)', '\\l\1', 'g'), '\[(/?INST\])', '\\o\1', 'g')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, {_ESCAPED.format("text")} AS shown FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(8 + length(role) + 1 + length(shown) + 7 + 1) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
                sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",
+    "op6_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3])
+                                                  WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op10_licences": f"""
+        WITH known(licence_id, text) AS (VALUES {_licence_rows()}),
+        k AS (SELECT min(licence_id) AS licence_id, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM known GROUP BY canonical_sha256),
+        d AS (SELECT doc_id, {_canonical_sql("text")} AS c FROM documents)
+        SELECT doc_id, licence_id, sha256(c) AS canonical_sha256, length(c) AS canonical_chars FROM d LEFT JOIN k ON k.canonical_sha256 = sha256(c)""",
 }
