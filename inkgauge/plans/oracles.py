@@ -205,7 +205,7 @@ ORACLE_SQL: dict[str, str] = {
     "compare_runs": f"""WITH {_detected(10_000)}, b AS (SELECT doc_id, least(1.0, CAST(length(wtext) AS DOUBLE) / 2500.0) AS s, wn FROM windows),
         two AS (SELECT doc_id, sum(round(s, 4) * wn) / sum(wn) AS agg2 FROM b GROUP BY doc_id),
         x AS (SELECT score AS sa, round(agg2, 4) AS sb, bucket AS ba, CAST(round_even(agg2 * 3, 0) AS INTEGER) AS bb FROM results JOIN two USING (doc_id) WHERE reliable)
-        SELECT count(*) AS n, round(avg(abs(sa - sb)), 6) AS score_mae, round(max(abs(sa - sb)), 6) AS max_delta, round(avg((ba <> bb)::INT), 6) AS bucket_flip_rate FROM x""",
+        SELECT count(*) AS n, round(avg(abs(sa - sb)), 4) AS score_mae, round(max(abs(sa - sb)), 4) AS max_delta, round(avg((ba <> bb)::INT), 4) AS bucket_flip_rate FROM x""",
     "latency_summary": """SELECT round(quantile_cont(abs(value), 0.5), 4) AS p50_s, round(quantile_cont(abs(value), 0.95), 4) AS p95_s,
         round(count(*) * 100 / sum(abs(value)), 4) AS words_per_s FROM events""",
     "markdown": f"""{_TURNS}, {_DELTA} SELECT conv_id, turn, '| ' || conv_id || '/' || turn || ' | ' || CAST(round_even(score * 100, 0) AS INTEGER) || '% | ' || band
