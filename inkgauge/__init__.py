@@ -1 +1,3 @@
 """inkgauge: scores text collections for the extent of AI editing, on Spark."""
+
+__version__ = "0.1.0"

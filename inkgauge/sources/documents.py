@@ -48,7 +48,7 @@ def from_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     Executors read the files; in the order of their paths.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     numbered = files.orderBy("path").select("path", "text").withColumn("ordinal", F.monotonically_increasing_id())
     return numbered.select("ordinal", F.col("path").alias("ref"), F.col("path").alias("source"), F.col("path").alias("label"), "text", F.lit(None).cast("string").alias("reason"))
 
