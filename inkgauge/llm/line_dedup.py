@@ -21,7 +21,11 @@ def _lines(base: DataFrame) -> DataFrame:
     """One row per line: two hashes that identify the line, and its number of words."""
     rows = base.select("doc", "id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hashes = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
-    return rows.select("doc", "id", "pos", *hashes, F.regexp_count("line", F.lit(_WORD)).alias("words"))
+    # between single spaces the words need no search
+    odd = F.col("line").rlike(r"[\x09-\x0D]|  |^ | $|^$")
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    words = F.when(odd, F.regexp_count("line", F.lit(_WORD))).otherwise(spaces + 1)
+    return rows.select("doc", "id", "pos", *hashes, words.alias("words"))
 
 
 def _line_ranks(lines: DataFrame) -> DataFrame:
@@ -51,25 +55,29 @@ def suffix_levels(suffixes: DataFrame, work: Workspace) -> DataFrame:
 
     ``suffixes``: doc, pos, rest (lines from here to the end of the sequence), rank (of the line, from 1), shared.
     Returns doc, pos, k, rank: for each k the suffixes of at least 2^k lines whose first 2^k lines occur elsewhere, too,
-    with their rank by these lines: the place in the suffix array of the first suffix that agrees with them.
+    with their rank by these lines: the place in the suffix array of the first suffix that agrees with them (among the
+    sequences still open, see below, so that later ranks keep order and equality, and not the very place).
 
     Each round tells suffixes of equal rank apart by the rank of the suffix 2^k lines on (0 where the sequence ends), so
     2^(k+1) lines are compared.  Ranks and counts come from pre-aggregated groups, so a line that is everywhere is no
-    bottleneck.  The doubling ends when every suffix that shares its rank has been compared to its end.
+    bottleneck.  A sequence is open while one of its suffixes is longer than 2^k and shares its rank; closed ones leave,
+    which changes no later comparison: what is left of them is told apart by its end.
     """
-    levels, now = [], suffixes
+    levels, now, most = [], suffixes, suffixes.count()  # no rank is above the number of suffixes
     for k in range(MAX_ROUNDS):
         step = 1 << k
         levels.append(now.filter(F.col("shared") & (F.col("rest") >= step)).select("doc", "pos", F.lit(k).alias("k"), "rank"))
-        if now.filter(F.col("shared") & (F.col("rest") > step)).isEmpty():
-            return reduce(DataFrame.unionAll, levels)
+        longer = F.col("rest") > step
         ahead = F.lead("rank", step).over(Window.partitionBy("doc").orderBy("pos"))
-        seen = work.save(now.withColumn("next", F.when(F.col("rest") > step, ahead).otherwise(F.lit(0))), f"seen{k}")
+        still = F.max(F.col("shared") & longer).over(Window.partitionBy("doc", "seq"))
+        seen = now.withColumn("next", F.when(longer, ahead).otherwise(F.lit(0))).withColumn("seq", F.col("pos") + F.col("rest"))
+        seen = work.save(seen.withColumn("open", still).filter("open").drop("open", "seq"), f"seen{k}")
         total = seen.count()
+        if not total:
+            return reduce(DataFrame.unionAll, levels)
         shared = seen.filter("shared").drop("shared")
         groups = shared.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
-        groups = groups.withColumn("slice", F.expr(f"next * {_SLICES}L div {total + 1}L").cast("int"))
-        told = work.save(_refined(groups), f"told{k}")
+        told = work.save(_refined(groups.withColumn("slice", F.expr(f"next * {_SLICES}L div {most + 1}L").cast("int"))), f"told{k}")
         told_rows = lookup(shared, told, ["rank", "next"], "n", total)
         told_rows = told_rows.select("doc", "pos", "rest", F.col("new").alias("rank"), (F.col("n") > 1).alias("shared"))
         alone = seen.filter(~F.col("shared")).select("doc", "pos", "rest", "rank", "shared")
