@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import stats
-from ..operators.bands import band_label, join_bands
+from ..operators.bands import DEFAULT, band_label, join_bands
 from ..operators.detect import chunk_array, chunk_rows, detect, gate, scored_windows, weighted_probs, wire
 from ..operators.prose import delta_from_first, label, resolve_prose
 from ..operators.windows import explode_windows, regroup, window_array
@@ -77,8 +77,6 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     step = scored_windows(_docs(spark, d), LengthStub(STEEP))
-    from ..operators.bands import DEFAULT
-
     return step.select("doc_id", chunk_array("windows", "scores", DEFAULT).alias("chunks"))
 
 
