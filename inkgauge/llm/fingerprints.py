@@ -146,7 +146,7 @@ def edited_fingerprints(docs: DataFrame, *, rows_per_range: int = 12_000, id_col
                 for i in np.flatnonzero(at == k).tolist():
                     picked.append(i)
                     size += len(texts[i])
-                    if size > 8 << 20:
+                    if size > 2 << 20:
                         out.append((k, False, _pack([some[j] for j in picked], [texts[j] for j in picked])))
                         picked, size = [], 0
                 if picked:
@@ -191,5 +191,5 @@ def edited_fingerprints(docs: DataFrame, *, rows_per_range: int = 12_000, id_col
     schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
     sent = rows.mapInArrow(send, "rng int, edge boolean, blob binary")
-    met = sent.repartition(ranges, "rng").sortWithinPartitions("rng")
+    met = sent.repartitionById(ranges, F.col("rng")).sortWithinPartitions("rng")  # a range is a partition
     return met.mapInArrow(receive, schema).withColumnRenamed("id", id_col)
