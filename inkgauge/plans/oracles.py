@@ -200,8 +200,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece FROM b""",
     "worst_disagreements": f"""WITH {_scored()}, w AS (SELECT * FROM scored ORDER BY abs(gt_bucket - model_bucket) + abs(model_score - gt_bucket / 3.0) DESC, sample_id LIMIT 3)
         SELECT sample_id, gt_bucket, model_bucket, model_score FROM w WHERE gt_bucket <> model_bucket""",
-    "source_control": f"""WITH {_detected(more=', source')} SELECT round(avg((bucket = 0)::INT), 6) AS frac_bucket0, {_describe('score')}
-        FROM results WHERE source = 'src1'""",
+    "source_control": f"WITH {_detected()} SELECT round(avg((bucket = 0)::INT), 6) AS frac_bucket0, {_describe('score')} FROM results",
     "compare_runs": f"""WITH {_detected(10_000)}, b AS (SELECT doc_id, least(1.0, CAST(length(wtext) AS DOUBLE) / 2500.0) AS s, wn FROM windows),
         two AS (SELECT doc_id, sum(round(s, 4) * wn) / sum(wn) AS agg2 FROM b GROUP BY doc_id),
         x AS (SELECT score AS sa, round(agg2, 4) AS sb, bucket AS ba, CAST(round_even(agg2 * 3, 0) AS INTEGER) AS bb FROM results JOIN two USING (doc_id) WHERE reliable)

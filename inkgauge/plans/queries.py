@@ -255,7 +255,7 @@ def worst_disagreements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_control(spark: SparkSession, d: str) -> DataFrame:
-    own = _detected(spark, d, "source").filter(F.col("source") == "src1")
+    own = _detected(spark, d)
     frac = F.avg((F.col("bucket") == 0).cast("double")).alias("frac_bucket0")
     return _round(own.agg(frac, *stats.describe_columns("score")), "frac_bucket0", *DESCRIBED)
 
