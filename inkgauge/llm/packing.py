@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Ids of a partition's sequences start at its number shifted so far; a partition has room for 2^36 pieces.
 _PARTITION_SHIFT = 36
+#: Marks that often end a word; the tokenizer cuts between a letter or digit and a run of these.
+_MARKS = ".,;:!?%$#&*|"
 #: Joins words in one call to the tokenizer; any white space separates the two sides of it.
 _MARK = "\x01"
 
@@ -22,7 +24,8 @@ class WordIds(dict):
     """Word -> its place in ``ids``; words not met before wait in ``fresh`` for :meth:`fill`.
 
     The tokenizer never joins text across a space and turns any white space to one, so each space-separated word can be
-    encoded by itself.  The table is emptied when it holds ``bound`` words.
+    encoded by itself.  A word that ends in marks is put together from the word without them and the marks, in ``joined``.
+    The table is emptied when it holds ``bound`` words.
     """
 
     def __init__(self, path: str, bound: int):
@@ -33,11 +36,16 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.mark = self._encode([_MARK])[0]
-        self.bound, self.ids, self.fresh = bound, [], []
+        self.bound, self.ids, self.fresh, self.joined = bound, [], [], []
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        self.fresh.append(word)
+        self.ids.append(b"")
+        core = word.rstrip(_MARKS)
+        if core and len(core) < len(word) and core[-1].isalnum():
+            self.joined.append((n, self[core], self[word[len(core) :]]))
+        else:
+            self.fresh.append((n, word))
         return n
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -47,16 +55,20 @@ class WordIds(dict):
     def fill(self) -> None:
         """Encode the fresh words, many in one call, cut at the mark."""
         for k in range(0, len(self.fresh), 2000):
-            words = self.fresh[k : k + 2000]
+            places, words = zip(*self.fresh[k : k + 2000])
             (ids,) = self._encode([f" {_MARK} ".join(words)])
             cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
-            if len(cuts) != len(words) - 1:  # a word holds the mark itself
-                self.ids += [x.tobytes() for x in self._encode(words)]
-                continue
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            raw = ids.tobytes()
-            self.ids += [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
-        self.fresh = []
+            if len(cuts) == len(words) - 1:
+                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+                raw = ids.tobytes()
+                found = [raw[a:b] for a, b in zip(starts, ends)]
+            else:  # a word holds the mark itself
+                found = [x.tobytes() for x in self._encode(list(words))]
+            for n, some in zip(places, found):
+                self.ids[n] = some
+        for n, core, marks in self.joined:
+            self.ids[n] = self.ids[core] + self.ids[marks]
+        self.fresh, self.joined = [], []
 
     def trim(self) -> None:
         if len(self) > self.bound:
@@ -83,7 +95,7 @@ def _narrow(text: str) -> bool:
     return True
 
 
-def encode(texts: list[str], path: str, bound: int = 500_000) -> Iterator[bytes]:
+def encode(texts: list[str], path: str, bound: int = 800_000) -> Iterator[bytes]:
     """Ids of each text, little-endian unsigned 32-bit, equal to the tokenizer's of the whole text."""
     table = _words(path, bound)
     at = table.__getitem__
