@@ -96,19 +96,23 @@ def detect(
 ) -> DataFrame:
     """One result per row: the row's columns without the text, and DETECTION_COLUMNS (and ``preview`` of the text).
 
+    Columns of these names in ``docs`` are replaced. Null text counts as empty.
+
     The score is the mean of the rounded chunk scores by words; bucket and band come from it before it is rounded. A
     document of fewer than ``min_words`` words is unreliable; one without words has score 0 and no chunks.
     """
-    keys = [c for c in docs.columns if c != text_col and c not in DETECTION_COLUMNS]
-    step = scored_windows(docs, scorer, text_col=text_col, window_words=window_words)
-    step = step.select(*keys, text_col, "n_words", chunk_array("windows", "scores", bands).alias("chunks"))
+    keys = [c for c in docs.columns if c != text_col and c not in (*DETECTION_COLUMNS, "preview")]
+    # the row's own columns wait in a struct, whatever they are called
+    step = docs.select(F.struct(F.lit(0).alias("__"), *keys).alias("__own"), F.col(text_col).alias("__text"))
+    step = scored_windows(step, scorer, text_col="__text", window_words=window_words)
+    step = step.select("__own", "__text", "n_words", chunk_array("windows", "scores", bands).alias("chunks"))
     step = step.withColumn("__score", F.coalesce(_weighted(F.col("chunks"), "score"), F.lit(0.0)))
     step = step.withColumn("__sure", F.coalesce(_weighted(F.col("chunks"), "confidence"), F.lit(0.0)))
     reliable = F.col("n_words") >= min_words
     # the position of the largest score is the index of its first chunk
     first_top = let(F.transform("chunks", lambda c: c["score"]), lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1)
     return step.select(
-        *keys,
+        *[F.col("__own").getField(k).alias(k) for k in keys],
         round_exact("__score", 4).alias("score"),
         F.when(reliable, band_label("__score", bands)).otherwise(UNRELIABLE).alias("band"),
         F.rint(F.col("__score") * (scorer.n_buckets - 1)).cast("int").alias("bucket"),
@@ -121,7 +125,7 @@ def detect(
         F.lit(scorer.calibrated).alias("calibrated"),
         first_top.alias("most_ai_chunk"),
         "chunks",
-        preview(text_col).alias("preview"),
+        preview("__text").alias("preview"),
     )
 
 

@@ -218,6 +218,12 @@ def test_detect_equals_plain(spark, parts):
     assert found[3].most_ai_chunk == 0
 
 
+def test_detect_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "w", 7, "p"), (2, None, "x", 8, "q")], "doc_id int, text string, windows string, scores int, preview string")
+    found = detect.detect(df, LengthStub()).orderBy("doc_id").collect()
+    assert [(r.windows, r.scores, r.preview, r.n_words) for r in found] == [("w", 7, "a b", 2), ("x", 8, "", 0)]
+
+
 def test_filter_on_results_stays_cheap(spark, data):
     """A filter on a result may move below the projections; the cleaning must not multiply."""
     df = detect.detect(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), LengthStub()).filter("score > 0.1 AND band <> 'x'")
