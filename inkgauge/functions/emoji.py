@@ -84,6 +84,8 @@ OTHER_NAMES = {
     "🥳": "partying_face",
 }
 
+#: No emoji comes before the first range: one comparison a character rules most texts out.
+MAYBE_EMOJI = f"[\\x{{{RANGES[0][0]:X}}}-\\x{{10FFFF}}]"
 EMOJI_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in RANGES) + "]"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .binding import as_column as _col
 from .binding import let
-from .emoji import EMOJI_CLASS, emoji_names
+from .emoji import EMOJI_CLASS, MAYBE_EMOJI, emoji_names
 
 #: The 29 code points that count as white space, as a character class for the JVM's regex.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -33,7 +33,7 @@ def normalize_whitespace(c: Column | str) -> Column:
 
 
 def normalize_emoji(c: Column | str) -> Column:
-    """Each emoji becomes ``:its_name:``; texts without any are passed on by one test."""
+    """Each emoji becomes ``:its_name:``; texts without any are passed on by a cheap test."""
     names = F.from_json(F.lit(json.dumps(emoji_names())), "map<string,string>")  # folded to a constant by the optimizer
 
     def spelled(text: Column) -> Column:
@@ -41,7 +41,8 @@ def normalize_emoji(c: Column | str) -> Column:
         parts = F.split(F.regexp_replace(text, "\\x{FE0F}", ""), "")
         return F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(names, x), x)), "")
 
-    return let(_col(c), lambda text: F.when(text.rlike(EMOJI_CLASS), spelled(text)).otherwise(text))
+    found = lambda text: F.when(text.rlike(EMOJI_CLASS), spelled(text)).otherwise(text)
+    return let(_col(c), lambda text: F.when(text.rlike(MAYBE_EMOJI), found(text)).otherwise(text))
 
 
 def remove_think_tag(c: Column | str) -> Column:
@@ -66,7 +67,8 @@ def remove_header(c: Column | str) -> Column:
     def looked_at(text: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]"))
         # few texts have such a phrase at all: test before cutting into lines
-        return F.when(text.rlike("|".join(BOILERPLATE)), let(lines, lambda x: without(text, x))).otherwise(text)
+        hint = reduce(lambda a, b: a | b, (F.contains(text, F.lit(phrase)) for phrase in BOILERPLATE))
+        return F.when(hint, let(lines, lambda x: without(text, x))).otherwise(text)
 
     return let(_col(c), looked_at)
 
