@@ -23,10 +23,11 @@ MIN_SCORE, MIN_SCORED_CHARS = 0.15, 100
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without letters (null and empty texts, too) and longer ones that are in no learned language."""
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")  # whatever the columns are called
+    own = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own")  # whatever the columns are called
     found = identify(docs.select(own, "doc_id", "text", "lang"), keep_columns=True)
-    unlike = (F.col("score") < MIN_SCORE) & (F.char_length("own.text") >= MIN_SCORED_CHARS)
-    return found.filter((F.col("lang_pred") != "und") & ~unlike).select("own.*")
+    unlike = (F.col("score") < MIN_SCORE) & (F.char_length("text") >= MIN_SCORED_CHARS)
+    kept = found.filter((F.col("lang_pred") != "und") & ~unlike)
+    return kept.select(*[F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

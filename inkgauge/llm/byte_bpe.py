@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_table
+
 _NONE = np.int64(1 << 40)  # the rank of a pair that no merge joins
 
 
@@ -195,13 +197,8 @@ class Codec:
         return b"".join(map(self.merges.token.__getitem__, np.frombuffer(raw, "<u4").tolist()))
 
 
-_held: dict[tuple, Codec] = {}
-
-
 def codec(path: str, pattern: str, bound: int = 600_000) -> Codec:
-    if (path, pattern, bound) not in _held:
-        _held[path, pattern, bound] = Codec(path, pattern, bound)
-    return _held[path, pattern, bound]
+    return worker_table(("codec", path, pattern, bound), lambda: Codec(path, pattern, bound))
 
 
 def encode_documents(

@@ -15,6 +15,20 @@ _ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 HOT_SHARE = 2_000
 
 
+_table: dict = {}
+
+
+def worker_table(key, make):
+    """The table of this Python worker: made once and kept for the tasks that follow, until another key is asked for.
+
+    A worker serves the stages of several operators in turn; only the last one's table takes memory.
+    """
+    if key not in _table:
+        _table.clear()
+        _table[key] = make()
+    return _table[key]
+
+
 def text_or_empty(col):
     """Text as string; null counts as empty."""
     return F.coalesce(col.cast("string"), F.lit(""))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_table
+
 #: Local letter numbers below this are looked up in a flat table of trigrams; texts with more letters are sorted.
 _FLAT = 160
 
@@ -33,12 +35,12 @@ class Profiler:
         self.points: list[int] = []
         self.flat = np.full(_FLAT**3, -1, np.int32)  # trigram of local numbers -> column
         self.columns: dict[int, int] = {}
-        self.vectors = np.empty((1024, self.dims), np.float32)
+        self.vectors = np.empty((1024, self.dims), np.int8)  # +1 and -1
         self.letter: dict[int, np.ndarray] = {}
 
     def _letter(self, point: int) -> np.ndarray:
         if point not in self.letter:
-            self.letter[point] = np.random.default_rng(point).integers(0, 2, self.dims).astype(np.float32) * 2 - 1
+            self.letter[point] = np.random.default_rng(point).integers(0, 2, self.dims).astype(np.int8) * 2 - 1
         return self.letter[point]
 
     def _column(self, x: int, y: int, z: int) -> int:
@@ -95,17 +97,11 @@ class Profiler:
             return None
         counts = np.bincount(columns)
         at = np.flatnonzero(counts)
-        return counts[at].astype(np.float32) @ self.vectors[at]
-
-
-_held: dict[int, Profiler] = {}
+        return counts[at].astype(np.float32) @ self.vectors[at].astype(np.float32)
 
 
 def profiler(dims: int) -> Profiler:
-    """One per Python worker."""
-    if dims not in _held:
-        _held[dims] = Profiler(dims)
-    return _held[dims]
+    return worker_table(("profiler", dims), lambda: Profiler(dims))
 
 
 def learn(rows: DataFrame, *, dims: int, text_col: str, label_col: str) -> dict[str, np.ndarray]:
@@ -171,7 +167,7 @@ def identify(
         own = profiler(dims)
         for batch in batches:
             names, scores = [], []
-            for text in batch["__text"].to_pylist():
+            for text in batch[text_name].cast(pa.string()).to_pylist():
                 vector = own.bundle(text) if text and labels else None
                 norm = float(np.linalg.norm(vector)) if vector is not None else 0.0
                 if norm == 0:
@@ -189,7 +185,9 @@ def identify(
             )
 
     fresh = ("held_out", "lang_pred", "score", "__text")
-    kept = [F.col(c) for c in docs.columns if c not in fresh] if keep_columns else [F.col(id_col)]
-    rows = docs.select(*kept, held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("__text"))
+    # texts go to Python once: with the row's own columns, or else beside its id
+    text_name = text_col if keep_columns else "__text"
+    kept = [F.col(c) for c in docs.columns if c not in fresh] if keep_columns else [F.col(id_col), F.col(text_col).cast("string").alias("__text")]
+    rows = docs.select(*kept, held_out(id_col).alias("held_out"))
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)

@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_table
+
 #: Ids of a partition's sequences start at its number shifted so far; a partition has room for 2^36 pieces.
 _PARTITION_SHIFT = 36
 #: Marks that often end a word; the tokenizer cuts between a letter or digit and a run of these.
@@ -76,16 +78,6 @@ class WordIds(dict):
             self.ids = []
 
 
-_held: dict[tuple, WordIds] = {}
-
-
-def _words(path: str, bound: int) -> WordIds:
-    """One table per Python worker."""
-    if (path, bound) not in _held:
-        _held[path, bound] = WordIds(path, bound)
-    return _held[path, bound]
-
-
 def _narrow(text: str) -> bool:
     """Whether lower-casing in Python equals the tokenizer's, which knows no final sigma."""
     try:
@@ -95,9 +87,9 @@ def _narrow(text: str) -> bool:
     return True
 
 
-def encode(texts: list[str], path: str, bound: int = 800_000) -> Iterator[bytes]:
+def encode(texts: list[str], path: str, bound: int = 600_000) -> Iterator[bytes]:
     """Ids of each text, little-endian unsigned 32-bit, equal to the tokenizer's of the whole text."""
-    table = _words(path, bound)
+    table = worker_table(("words", path, bound), lambda: WordIds(path, bound))
     at = table.__getitem__
     for k in range(0, len(texts), 500):
         places = []
