@@ -87,7 +87,7 @@ def _narrow(text: str) -> bool:
     return True
 
 
-def encode(texts: list[str], path: str, bound: int = 600_000) -> Iterator[bytes]:
+def encode(texts: list[str], path: str, bound: int = 900_000) -> Iterator[bytes]:
     """Ids of each text, little-endian unsigned 32-bit, equal to the tokenizer's of the whole text."""
     table = worker_table(("words", path, bound), lambda: WordIds(path, bound))
     at = table.__getitem__
