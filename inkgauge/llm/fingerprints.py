@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lanes modulo 2^64 for equality, and per level of resolution lanes modulo 2^16 for likeness.
-WIDE, LEVELS, LANES = 8, 7, 16
+#: Lanes modulo 2^64 for equality, and per level of resolution lanes modulo 2^16 for likeness.  The finest level takes one
+#: paragraph of 2^27: two texts of 2 GB, the most a row can hold, have fewer than 2^31 and don't crowd it.
+WIDE, LEVELS, LANES = 8, 28, 16
 _RECORD = np.dtype([("count", "<u4"), ("wide", "<u8", WIDE), ("fine", "<u2", (LEVELS, LANES))])
 
 
@@ -48,10 +49,13 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         out["wide"][:, k] = total[ends] - total[ends - counts]
     place = _mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
     cell = np.repeat(np.arange(len(texts)), counts) * LANES + (place & np.uint64(LANES - 1)).astype(np.int64)
-    chance, value = place >> np.uint64(8) & np.uint64(0xFFFF), (place >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.float64)
+    chance, value = place >> np.uint64(8) & np.uint64(0xFFFFFFFF), (place >> np.uint64(48)).astype(np.float64)
     for level in range(LEVELS):
-        some = chance < np.uint64(0x10000 >> level)
-        sums = np.bincount(cell[some], value[some], len(texts) * LANES)
+        some = chance < np.uint64(0x100000000 >> level)
+        cell, chance, value = cell[some], chance[some], value[some]  # a level's paragraphs are among the last one's
+        if not len(cell):
+            break
+        sums = np.bincount(cell, value, len(texts) * LANES)
         out["fine"][:, level] = (sums.astype(np.int64) & 0xFFFF).astype(np.uint16).reshape(-1, LANES)
     return out
 

@@ -341,6 +341,25 @@ def test_fingerprint_sums():
     assert fingerprints.likeness(ab, ba)[0] == 1 > fingerprints.likeness(a, ab)[0] > 0
 
 
+@pytest.mark.parametrize("n", [5_000, 20_000])
+def test_likeness_of_long_texts(n):
+    """Texts with nothing in common and texts that share half, of so many paragraphs each; the estimates' means over pairs."""
+    pairs = 12
+    text = lambda *ranges: "\n".join(f"p{k}" for a, b in ranges for k in range(a, b))
+    apart, half = [], []
+    for k in range(pairs):
+        a = 10 * n * k
+        one, other, mixed = fingerprints.fingerprints([text((a, a + n)), text((a + n, a + 2 * n)), text((a, a + n // 2), (a + 2 * n, a + 2 * n + n // 2))])[:, None]
+        apart.append(fingerprints.likeness(one, other)[0])
+        half.append(fingerprints.likeness(one, mixed)[0])
+    assert np.mean(apart) < 0.25
+    assert 0.3 < np.mean(half) < 0.7
+
+
+def test_finest_level_is_not_crowded():
+    assert fingerprints.LANES * 2.0 ** (fingerprints.LEVELS - 1) >= 2**31
+
+
 def test_fingerprints_cases(docs):
     found = rows(fingerprints.edited_fingerprints(docs))
     assert Counter(r["doc_id"] for r in found) == Counter(d for d, *_ in awkward_rows())
