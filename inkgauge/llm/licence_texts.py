@@ -1,4 +1,12 @@
-"""Known licences by their SPDX ids. The texts are as published."""
+"""Known licences by their SPDX ids. The texts are as published.
+
+Long ones are files of ``licence_files``; ``<id>@<n>.txt`` are other published wordings (addresses, with or without the
+appendix). Only the driver reads them.
+"""
+
+from pathlib import Path
+
+_FILES = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_files").glob("*.txt"))}
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _MIT_NOTICE = """, subject to the following conditions:
@@ -40,9 +48,49 @@ LICENCES = {
     "MIT": _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY,
     "MIT-0": _MIT_GRANT + "." + _MIT_WARRANTY,
     "Zlib": _ZLIB,
+    **{name: text for name, text in _FILES.items() if "@" not in name},
     # notices that stand for the whole licence
     "notice:Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "notice:CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "notice:GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "notice:MIT": "Released under the MIT License.",
 }
+
+#: Titles that may stand above a text that is listed without one.
+TITLES = {
+    "0BSD": ("0BSD", "BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"),
+    "ISC": ("ISC", "ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT", "MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "Expat License"),
+    "MIT-0": ("MIT-0", "MIT No Attribution", "MIT No Attribution License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib", "zlib License", "The zlib License", "zlib/libpng License"),
+}
+
+
+def _unnumbered(text: str) -> str:
+    return text.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")
+
+
+def _wordings() -> dict[str, list[str]]:
+    """Further wordings of the texts in LICENCES."""
+    found: dict[str, list[str]] = {}
+    for name, text in _FILES.items():
+        if "@" in name:
+            found.setdefault(name.split("@")[0], []).append(text)
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "Zlib"):
+        found.setdefault(name, []).append(_unnumbered(LICENCES[name]))
+    found["ISC"] = [LICENCES["ISC"].replace("and/or distribute", "and distribute")]
+    return found
+
+
+WORDINGS = _wordings()
+
+
+def forms(name: str, text: str) -> list[str]:
+    """The text, its other wordings if it is the one listed here, each with and without a title, links by http and https."""
+    texts = [text, *(WORDINGS.get(name, ()) if LICENCES.get(name) == text else ())]
+    texts += [f"{title}\n\n{t}" for title in TITLES.get(name, ()) for t in texts]
+    plain = [t.replace("https://", "http://") for t in texts]
+    return list(dict.fromkeys([*texts, *plain, *(t.replace("http://", "https://") for t in plain)]))

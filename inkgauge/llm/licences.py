@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .licence_texts import LICENCES
+from .licence_texts import LICENCES, forms
 
 #: Known texts up to this many are broadcast; a larger table meets the documents in a shuffle.
 MAX_BROADCAST = 20_000
@@ -18,6 +18,15 @@ COPYRIGHT_LINE = (
     r"(?:^|\n)[^a-z0-9\n]*(?:(?:(?:copyright[ \t]*)?(?:\(c\)|©|copyright[ \t]+[0-9])|spdx-)[^\n]*|all rights reserved[^a-z0-9\n]*)"
 )
 
+#: Words that follow "copyright" where a licence's sentence runs on from the line above. Fixed values.
+_PROSE = (
+    r"(?:and|are|disclaimer|doctrines|each|holders?|if|in|interests?|laws?|licen[cs]es?|notices?|of|on|or|owners?|ownership|permissions?|"
+    r"protection|resulting|statements?|treaty|under)\b|the(?:[ \t]*(?:\n|$)|[ \t]+(?:software|library|program)\b)"
+)
+
+#: The same and any other line that begins with "copyright" and names a holder. (The SQL twin, without lookahead, keeps those.)
+HOLDER_LINE = rf"{COPYRIGHT_LINE}|(?:^|\n)[^a-z0-9\n]*copyright:?[ \t]+(?!{_PROSE})[^ \t\n][^\n]*"
+
 #: Spellings that count as equal, British first (parts of words, so that endings follow). Fixed values.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
@@ -58,7 +67,7 @@ SPELLINGS = {
 def canonical(text: Column) -> Column:
     """Case, copyright lines, punctuation, white space and equivalent spellings made alike."""
     out = F.lower(text_or_empty(text))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(out, HOLDER_LINE, "\n")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     out = F.concat(out, F.lit(" "))
     for one, other in SPELLINGS.items():
@@ -67,9 +76,9 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(df: DataFrame, known: Mapping[str, str]) -> DataFrame:
-    """Table of licence_id and canonical_sha256; of licences with equal canonical texts the first id stays."""
+    """Table of licence_id and canonical_sha256 of all forms; of licences with equal canonical texts the first id stays."""
     spark = df.sparkSession
-    rows = spark.createDataFrame(sorted(known.items()), "licence_id string, text string")
+    rows = spark.createDataFrame([(k, t) for k, v in sorted(known.items()) for t in forms(k, v)], "licence_id string, text string")
     rows = rows.select("licence_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
     return rows.groupBy("canonical_sha256").agg(F.min("licence_id").alias("licence_id"))
 
@@ -78,7 +87,7 @@ def scan(docs: DataFrame, *, known: Mapping[str, str] = LICENCES, id_col: str =
     """Find the documents that are, as a whole, a known licence.
 
     The canonical text's SHA-256 is joined with the digests of the known licences in the same form, so a match is exact
-    up to case, punctuation, line breaks, copyright lines and equivalent spellings.  The known table's size is checked:
+    up to case, punctuation, line breaks, copyright lines, equivalent spellings and a licence's title.  The known table's size is checked:
     up to MAX_BROADCAST it is broadcast and the documents don't move.
 
     Returns per row: ``id_col``, licence_id (null where none matches), canonical_sha256, canonical_chars.

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -396,6 +397,29 @@ def test_licences_in_other_dress(spark):
         assert r.licence_id == name
 
 
+def test_licences_as_whole_files(spark):
+    """LICENSE files with titles, holders without a year, any line width, and the long licences."""
+    mit, bsd = LICENCES["MIT"], LICENCES["BSD-3-Clause"]
+    want = [
+        ("MIT License\n\nCopyright (c) 2020 X\n\n" + mit, "MIT"),
+        ("(The MIT License)\n=====\nCopyright Joyent, Inc. and other Node contributors.\n" + mit, "MIT"),
+        ("Copyright The Rust Project Developers\nCopyright: Somebody\n" + mit, "MIT"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2022, X\nAll rights reserved.\n\n" + re.sub(r"\n\d\.", "\n*", bsd), "BSD-3-Clause"),
+        ("zlib License\n\n(C) 2020 X\n\n" + LICENCES["Zlib"], "Zlib"),
+        ("ISC License\n\nCopyright X\n\n" + LICENCES["ISC"], "ISC"),
+        (LICENCES["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Somebody"), "Apache-2.0"),
+        (LICENCES["Apache-2.0"].split("   APPENDIX:")[0].replace("http:", "https:"), "Apache-2.0"),
+        ("MIT License\nCopyright X\n" + mit + "\nAnd more.", None),
+    ]
+    long = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0", "Artistic-2.0"]
+    want += [(LICENCES[name], name) for name in long]
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "BSL-1.0", "BlueOak-1.0.0"):
+        want += [("\n".join(textwrap.wrap(LICENCES[name], width, break_long_words=False, break_on_hyphens=False)), name) for width in range(14, 90, 5)]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(want)], "doc_id bigint, text string")
+    found = {r.doc_id: r.licence_id for r in licences.scan(df).collect()}
+    assert [(k, found[k]) for k in range(len(want))] == [(k, name) for k, (_, name) in enumerate(want)]
+
+
 def test_licences_large_table_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(licences, "MAX_BROADCAST", 0)
     (r,) = licences.scan(spark.createDataFrame([(1, LICENCES["ISC"])], "doc_id bigint, text string")).collect()
