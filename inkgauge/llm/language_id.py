@@ -133,6 +133,16 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def rows_a_label(counts: list[int], most: int) -> int:
+    """The largest bound for which the labels' rows, up to so many of each, number at most ``most``; 1 at least."""
+    left, labels = most, len(counts)
+    for n in sorted(counts):
+        if n * labels > left:
+            return max(1, left // labels)
+        left, labels = left - n, labels - 1
+    return max(counts, default=1)
+
+
 def identify(
     docs: DataFrame,
     *,
@@ -146,7 +156,8 @@ def identify(
     """Predict the language of every whole text by the cosine of its vector with each language's prototype.
 
     Prototypes are learnt from texts and non-null labels of rows that are not held out, from all of them or, where there
-    are more than ``max_training_rows``, from about so many, chosen by a hash of the id.  A prediction sees the text alone.
+    are more than ``max_training_rows``, from about so many: all rows of rare labels, an equal number of each other label,
+    chosen by a hash of id and text.  So every label with a letter in its texts is learnt.  A prediction sees the text alone.
 
     Returns per row: ``id_col``, held_out, lang_pred, score (the cosine, 0 at least); with ``keep_columns`` these are
     appended to the row's own columns instead, replacing any of the same names.
@@ -155,11 +166,16 @@ def identify(
     are never held out.  Ties go to the first label in alphabetical order.  An empty table gives no rows.
     """
     usable = docs.filter(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    n = usable.count()
-    if n > max_training_rows:
-        chosen = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * max_training_rows / n)
-        usable = usable.filter(chosen)
-    prototypes = learn(usable, dims=dims, text_col=text_col, label_col=label_col)
+    text, label = F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")
+    usable = usable.select(text, label, F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash")).filter(F.col("text").rlike(r"\p{L}"))
+    found = {r["label"]: (r["n"], r["least"]) for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()}
+    bound = rows_a_label([n for n, _ in found.values()], max_training_rows)
+    # the least hash is taken whatever the share, so no label is left without a row
+    tops = [(x, max(least, bound * 2**64 // n - 2**63)) for x, (n, least) in found.items() if n > bound]
+    if tops:
+        tops = docs.sparkSession.createDataFrame(tops, "label string, top bigint")
+        usable = usable.join(F.broadcast(tops), "label", "left").filter(F.col("top").isNull() | (F.col("hash") <= F.col("top")))
+    prototypes = learn(usable, dims=dims, text_col="text", label_col="label")
     labels = sorted(prototypes)
     matrix = np.array([prototypes[x] / np.linalg.norm(prototypes[x]) for x in labels], np.float32).reshape(len(labels), dims)
 

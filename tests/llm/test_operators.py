@@ -204,6 +204,18 @@ def test_language_id_bounded_sample(docs):
     assert language_id.identify(docs, dims=128, max_training_rows=5).count() == len(awkward_rows())
 
 
+def test_language_id_learns_rare_labels(spark):
+    """Of many rows a small sample is learnt from, and labels with a row or two are among it; ids may be null."""
+    rare = [f"{chr(0x400 + 40 + 3 * k)}{chr(0x400 + 41 + 3 * k)} " * 20 for k in range(8)]
+    table = [(None, text, f"r{k}") for k, text in enumerate(rare)] + [(None, "12 34", "r0")]
+    table += [(k if k % 2 else None, f"common words number {'abcdefgh'[k % 8]} of many", "en") for k in range(2000)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, lang string").repartition(3)
+    found = {(r.text, r.lang_pred) for r in language_id.identify(df, dims=256, max_training_rows=60, keep_columns=True).filter("lang <> 'en'").collect()}
+    assert found == {(text, f"r{k}") for k, text in enumerate(rare)} | {("12 34", "und")}
+    assert language_id.rows_a_label([1, 5, 100, 200], 106) == 50 and language_id.rows_a_label([3, 3], 1) == 1
+    assert language_id.rows_a_label([4, 9], 20) == 9 and language_id.rows_a_label([], 5) == 1
+
+
 # --- near-dedup --------------------------------------------------------------------------------------------------------
 
 
