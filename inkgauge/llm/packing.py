@@ -30,13 +30,16 @@ class WordIds(dict):
     The table is emptied when it holds ``bound`` words.
     """
 
-    def __init__(self, path: str, bound: int):
+    def __init__(self, path: str, bound: int, plain_specials: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # a word that lower-casing turns into such a string is no token
+        self.default = Tokenizer.from_file(path)
+        added = self.default.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added if not (plain_specials and x.special)]
         self.mark = self._encode([_MARK])[0]
         self.bound, self.ids, self.fresh, self.joined = bound, [], [], []
 
@@ -54,6 +57,12 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4") for x in found]
 
+    def whole(self, text: str) -> bytes | None:
+        """Ids of a text that holds a string of an added token, which the tokenizer cuts out first; None for any other."""
+        if any(x in text for x in self.added):
+            return np.array(self.default.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return None
+
     def fill(self) -> None:
         """Encode the fresh words, many in one call, cut at the mark."""
         for k in range(0, len(self.fresh), 2000):
@@ -87,19 +96,25 @@ def _narrow(text: str) -> bool:
     return True
 
 
-def encode(texts: list[str], path: str, bound: int = 900_000) -> Iterator[bytes]:
-    """Ids of each text, little-endian unsigned 32-bit, equal to the tokenizer's of the whole text."""
-    table = worker_table(("words", path, bound), lambda: WordIds(path, bound))
+def encode(texts: list[str], path: str, bound: int = 900_000, plain_specials: bool = False) -> Iterator[bytes]:
+    """Ids of each text, little-endian unsigned 32-bit, equal to the tokenizer's of the whole text.
+
+    Strings of special tokens become those tokens, as by default in the library; with ``plain_specials`` they are text.
+    """
+    table = worker_table(("words", path, bound, plain_specials), lambda: WordIds(path, bound, plain_specials))
     at = table.__getitem__
     for k in range(0, len(texts), 500):
-        places = []
+        places: list[list[int] | bytes] = []
         for text in texts[k : k + 500]:
-            text = text.lower() if _narrow(text) else text
-            places.append(list(map(at, text.replace("\n", " ").split(" "))))
+            found = table.whole(text)
+            if found is None:
+                text = text.lower() if _narrow(text) else text
+                found = list(map(at, text.replace("\n", " ").split(" ")))
+            places.append(found)
         table.fill()
         ids = table.ids.__getitem__
         for found in places:
-            yield b"".join(map(ids, found))
+            yield found if isinstance(found, bytes) else b"".join(map(ids, found))
         table.trim()
 
 
@@ -116,6 +131,7 @@ def pack(
     end_id: int = 2,
     max_tokens: int = 4096,
     with_ids: bool = False,
+    plain_specials: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -129,6 +145,9 @@ def pack(
     Returns per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset (always 0), bucket, and with
     ``with_ids`` also ids (array<int>).
 
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the string of a special token in a text is
+    that token.  With ``plain_specials`` it is ordinary text.
+
     Null text counts as empty: one piece with ``end_id`` alone.  Null ids are kept.  Repeated rows are packed each for
     itself.  Other columns are ignored; an empty table gives no rows.
     """
@@ -142,7 +161,7 @@ def pack(
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, raw in zip(batch["id"].to_pylist(), encode([x or "" for x in batch["text"].to_pylist()], tokenizer_path)):
+            for doc, raw in zip(batch["id"].to_pylist(), encode([x or "" for x in batch["text"].to_pylist()], tokenizer_path, plain_specials=plain_specials)):
                 raw += end
                 total, start = len(raw) // 4, 0
                 for length in binary_lengths(total, max_tokens):
