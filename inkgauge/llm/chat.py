@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .common import Workspace, text_or_empty
 
 TURN, END = "<|turn|>", "<|end|>"
-#: Paths of up to 2^MAX_ROUNDS turns; longer ones can only be loops of replies.
-MAX_ROUNDS = 24
 
 
 def escape(col: Column) -> Column:
@@ -34,29 +32,42 @@ def _escaped_role(col: Column) -> Column:
     return F.replace(escape(col), F.lit("\n"), F.lit("\\n"))
 
 
+def _doubled(link: DataFrame) -> DataFrame:
+    """Links of twice the length, with the smallest node that they start from or pass."""
+    far = link.alias("a").join(link.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+    return far.select("a.tree", "a.node", "b.up", F.least("a.least", "b.least").alias("least"))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """All (tree, leaf, node, above) of root-to-leaf paths; ``above`` counts the steps from the leaf up to the node.
 
     ``nodes`` has tree, node and parent.  Self-joins double the length of known links (parent, grandparent, ...) until no
     link is left, and each round doubles the known part of every path: log2(depth) rounds.
 
-    A node whose parent is null, itself or missing is a root.
+    A node whose parent is null, itself or missing is a root.  A loop of replies has no root of its own: its smallest node
+    becomes one, as if it had no parent.
     """
     work = Workspace(nodes.sparkSession)
     known = nodes.select("tree", F.col("node").alias("up"))
-    link = nodes.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).select("tree", "node", F.col("parent").alias("up"))
-    link = work.save(link.join(known, ["tree", "up"], "left_semi").select("tree", "node", "up"), "link0")
-    inner = link.select("tree", F.col("up").alias("node")).distinct()
-    found = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("above"))
-    k = 0
-    while not link.isEmpty():
-        if k == MAX_ROUNDS:
-            raise ValueError("replies form a loop")
-        step = found.join(link, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
-        found = work.save(found.unionByName(step), f"found{k}")
-        far = link.alias("a").join(link.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
-        link = work.save(far.select("a.tree", "a.node", "b.up"), f"link{k + 1}")
-        k += 1
+    first = nodes.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).select("tree", "node", F.col("parent").alias("up"))
+    first = first.join(known, ["tree", "up"], "left_semi").select("tree", "node", "up", F.col("node").alias("least"))
+    first = work.save(first, "link0")
+    most = first.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    for attempt in (0, 1):
+        link, k = first, 0
+        inner = first.select("tree", F.col("up").alias("node")).distinct()
+        found = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("above"))
+        while not link.isEmpty() and 1 << k <= most:
+            step = found.join(link, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+            found = work.save(found.unionByName(step), f"found{attempt}_{k}")
+            link = work.save(_doubled(link), f"link{attempt}_{k + 1}")
+            k += 1
+        if link.isEmpty():
+            break
+        # no tree has so long a path: these links end in loops, and each node of a loop has seen all of it
+        looped = link.select("tree", F.col("up").alias("node")).distinct()
+        roots = link.join(looped, ["tree", "node"], "left_semi").select("tree", F.col("least").alias("node")).distinct()
+        first = work.save(first.join(roots, ["tree", "node"], "left_anti"), "cut")
     return found
 
 
@@ -81,12 +92,13 @@ def format_trees(nodes: DataFrame, *, top: int = 1, loss_roles: tuple[str, ...]
     of the escaped texts whose role is one of ``loss_roles``.
 
     Null role or text counts as empty, null score as 0.  Of rows with the same tree and node the first in the order of
-    parent, role, text and score counts.  Rows without tree or node are left out.  Other columns are ignored; an empty
-    table gives no rows.
+    parent, role, text and score counts.  Rows with a null tree are one tree, whose ``tree`` is null; rows without node are
+    left out, since nothing tells them apart.  Loops: see :func:`paths`.  Other columns are ignored; an empty table gives no rows.
     """
     work = Workspace(nodes.sparkSession)
-    nodes = nodes.filter(F.col("tree").isNotNull() & F.col("node").isNotNull()).select(
-        F.col("tree").cast("bigint").alias("tree"),
+    # in a struct a null tree equals itself
+    nodes = nodes.filter(F.col("node").isNotNull()).select(
+        F.struct(F.col("tree").cast("bigint").alias("id")).alias("tree"),
         F.col("node").cast("bigint").alias("node"),
         F.col("parent").cast("bigint").alias("parent"),
         text_or_empty(F.col("role")).alias("role"),
@@ -107,7 +119,7 @@ def format_trees(nodes: DataFrame, *, top: int = 1, loss_roles: tuple[str, ...]
     whole = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
     return whole.select(
-        "tree",
+        F.col("tree.id").alias("tree"),
         "leaf",
         "rank",
         F.size("turns").cast("bigint").alias("n_turns"),
@@ -137,11 +149,10 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 def threads(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """Plain conversations as reply trees with one branch: each turn replies to the one before it.
 
-    Turns are ordered by ``turn_col``; rows of one turn by role and text; null turns come first.
+    Turns are ordered by ``turn_col``; rows of one turn by role and text; null turns come first.  Rows with a null
+    ``conv_col`` are one conversation.
     """
     order = Window.partitionBy(conv_col).orderBy(turn_col, "role", "text")
-    numbered = rows.filter(F.col(conv_col).isNotNull()).select(
-        F.col(conv_col).alias("tree"), F.row_number().over(order).cast("bigint").alias("node"), "role", "text"
-    )
+    numbered = rows.select(F.col(conv_col).alias("tree"), F.row_number().over(order).cast("bigint").alias("node"), "role", "text")
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
     return numbered.withColumn("parent", parent).withColumn("score", F.lit(0.0))
