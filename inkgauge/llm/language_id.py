@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import worker_table
 
+#: More labels than this are an error: there are about 7,000 living languages, so such a column holds something else.
+MAX_LABELS = 8_192
+
 #: Local letter numbers below this are looked up in a flat table of trigrams; texts with more letters are sorted.
 _FLAT = 160
 
@@ -69,10 +72,12 @@ class Profiler:
         letter = self.is_letter[codes]
         if not letter.any():
             return np.empty(0, np.int32)
-        codes = np.where(letter, codes, 32)
+        # both ends are gaps, and a run of others is one gap
+        letter = np.concatenate([[False], letter, [False]])
+        codes = np.where(letter, np.concatenate([[32], codes, [32]]), 32).astype(np.uint32)
         keep = np.ones(len(codes), bool)
-        keep[1:] = letter[1:] | letter[:-1]  # a run of others is one gap
-        codes = np.concatenate([[32], codes[keep], [32]]).astype(np.uint32)
+        keep[1:] = letter[1:] | letter[:-1]
+        codes = codes[keep]
         n = self._number(codes)
         if n.max() < _FLAT:
             keys = (n[:-2] * _FLAT + n[1:-1]) * _FLAT + n[2:]
@@ -105,7 +110,7 @@ def profiler(dims: int) -> Profiler:
 
 
 def learn(rows: DataFrame, *, dims: int, text_col: str, label_col: str) -> dict[str, np.ndarray]:
-    """Bundle the rows of each label to its prototype.  What returns to the driver is labels x dims numbers."""
+    """Bundle the rows of each label to its prototype.  One row per label returns to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = profiler(dims), {}
@@ -122,10 +127,9 @@ def learn(rows: DataFrame, *, dims: int, text_col: str, label_col: str) -> dict[
 
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     parts = rows.mapInArrow(run, "label string, dim int, value bigint")
-    prototypes: dict[str, np.ndarray] = {}
-    for label, dim, value in parts.groupBy("label", "dim").agg(F.sum("value")).collect():
-        prototypes.setdefault(label, np.zeros(dims))[dim] = value
-    return prototypes
+    sums = parts.groupBy("label", "dim").agg(F.sum("value").cast("double").alias("value"))
+    whole = sums.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "value")))["value"].alias("vector"))
+    return {label: np.array(vector) for label, vector in whole.collect()}
 
 
 def held_out(id_col: str):
@@ -162,13 +166,17 @@ def identify(
     Returns per row: ``id_col``, held_out, lang_pred, score (the cosine, 0 at least); with ``keep_columns`` these are
     appended to the row's own columns instead, replacing any of the same names.
 
-    Null text, text without letters, and any text if there is nothing to learn from: lang_pred ``und``, score 0.  Null ids
+    The table must have ``label_col``; with more than MAX_LABELS different labels it is an error, since prototypes go to every
+    worker.  Null text, text without letters, and any text if there is nothing to learn from: lang_pred ``und``, score 0.  Null ids
     are never held out.  Ties go to the first label in alphabetical order.  An empty table gives no rows.
     """
     usable = docs.filter(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     text, label = F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")
     usable = usable.select(text, label, F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash")).filter(F.col("text").rlike(r"\p{L}"))
-    found = {r["label"]: (r["n"], r["least"]) for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()}
+    labels = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).limit(MAX_LABELS + 1).collect()
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"{label_col} has more than {MAX_LABELS} different values: these are no languages")
+    found = {r["label"]: (r["n"], r["least"]) for r in labels}
     bound = rows_a_label([n for n, _ in found.values()], max_training_rows)
     # the least hash is taken whatever the share, so no label is left without a row
     tops = [(x, max(least, bound * 2**64 // n - 2**63)) for x, (n, least) in found.items() if n > bound]
