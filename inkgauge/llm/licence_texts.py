@@ -49,11 +49,6 @@ LICENCES = {
     "MIT-0": _MIT_GRANT + "." + _MIT_WARRANTY,
     "Zlib": _ZLIB,
     **{name: text for name, text in _FILES.items() if "@" not in name},
-    # notices that stand for the whole licence
-    "notice:Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "notice:CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "notice:GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "notice:MIT": "Released under the MIT License.",
 }
 
 #: Titles that may stand above a text that is listed without one.

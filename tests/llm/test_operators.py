@@ -76,6 +76,20 @@ def test_shards_are_contiguous_and_balanced(docs):
     assert {r["law"] for r in found} == {"bytes"} and {r["grown_shard"] for r in found} == {None}
 
 
+def test_shards_equal_plain_cuts(spark):
+    """A row lies in the shard that holds the middle of its bytes, in the order of ids."""
+    rng = np.random.default_rng(4)
+    texts = {int(d): "é" * int(n) for d, n in zip(rng.permutation(3000)[:700], rng.integers(0, 40, 700))}
+    found = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_bytes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(6)).collect()}
+    total, begin, slots = sum(2 * len(t) + 1 for t in texts.values()), 0, Counter()
+    for doc in sorted(texts):
+        size = 2 * len(texts[doc]) + 1
+        shard = min(15, (2 * begin + size) * 16 // (2 * total))
+        assert found[doc] == (shard, slots[shard])
+        slots[shard] += 1
+        begin += size
+
+
 def test_shards_of_many_rows_are_near_equal(spark):
     df = spark.range(5000).selectExpr("id AS doc_id", "repeat('x', cast(id % 17 as int)) AS text").repartition(7)
     sizes = [r["b"] for r in sharding.shard_by_bytes(df, shards=16).groupBy("shard").agg({"size": "sum"}).toDF("shard", "b").collect()]
@@ -87,7 +101,6 @@ def test_shards_of_many_rows_are_near_equal(spark):
 
 def test_packing_equals_tokenizer(docs):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     found = packing.pack(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), tokenizer_path=WORDS, max_tokens=64, with_ids=True)
     found = rows(found)
     assert len({r["sequence_id"] for r in found}) == len(found)
@@ -108,10 +121,12 @@ def test_packing_equals_tokenizer(docs):
 
 def test_word_table_equals_tokenizer_on_odd_texts():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     odd = ["", "  ", "a\n\nB", "\x01 a \x01b\x01", "ΑΣ ΑΣ. İ", "don't we'll", "<|endoftext|>x", "é ́", "x\x1cy\x85z w", "日本語🙂"]
     want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(odd, add_special_tokens=False)]
     assert list(packing.encode(odd, WORDS, bound=3)) == want
+    tokenizer.encode_special_tokens = True
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(odd, add_special_tokens=False)]
+    assert list(packing.encode(odd, WORDS, bound=3, plain_specials=True)) == want
 
 
 def test_binary_lengths():
@@ -216,6 +231,41 @@ def test_language_id_learns_rare_labels(spark):
     assert language_id.rows_a_label([4, 9], 20) == 9 and language_id.rows_a_label([], 5) == 1
 
 
+def test_language_id_equals_plain_hypervectors(spark):
+    """Letter vectors rotated, multiplied and summed in plain loops."""
+    dims = 64
+
+    def letter(c):
+        return np.random.default_rng(ord(c)).integers(0, 2, dims).astype(np.int64) * 2 - 1
+
+    def vector(text):
+        symbols = [" "]
+        for c in text.lower() + " ":
+            if c.isalpha():
+                symbols.append(c)
+            elif symbols[-1] != " ":
+                symbols.append(" ")
+        out = np.zeros(dims, np.int64)
+        for x, y, z in zip(symbols, symbols[1:], symbols[2:]):
+            out += np.roll(letter(x), 2) * np.roll(letter(y), 1) * letter(z)
+        return out
+
+    rows = [(1, "the cat sat on the mat", "en"), (2, "den Hund im Garten, ja!", "de"), (3, "le chat est là", "fr"), (4, "the dog", "en"), (9, "der Hund", None)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2] + [(100 + k, f"la maison {k} bleue", "fr") for k in range(6)]
+    learnt = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    prototypes = {x: sum(vector(t) for _, t, y in learnt if x == y) for x in sorted({r[2] for r in learnt})}
+    for r in language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), dims=dims, keep_columns=True).collect():
+        v = vector(r.text)
+        cosine = {x: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for x, p in prototypes.items()}
+        assert abs(r.score - max(0.0, max(cosine.values()))) < 1e-5 and cosine[r.lang_pred] >= max(cosine.values()) - 1e-6
+
+
+def test_language_id_refuses_too_many_labels(docs, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LABELS", 1)
+    with pytest.raises(ValueError, match="different values"):
+        language_id.identify(docs)
+
+
 # --- near-dedup --------------------------------------------------------------------------------------------------------
 
 
@@ -403,10 +453,10 @@ def test_licences_in_other_dress(spark):
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = {r.doc_id: r.licence_id for r in licences.scan(df).collect()}
-    assert [found[i] for i in range(10)] == ["MIT"] * 4 + [None, "notice:MIT", "notice:MIT", None, None, None]
-    for name, text in LICENCES.items():
-        (r,) = licences.scan(spark.createDataFrame([(1, text.swapcase())], "doc_id bigint, text string")).collect()
-        assert r.licence_id == name
+    assert [found[i] for i in range(10)] == ["MIT"] * 4 + [None] * 6
+    names = sorted(LICENCES)
+    swapped = spark.createDataFrame([(k, LICENCES[name].swapcase()) for k, name in enumerate(names)], "doc_id bigint, text string")
+    assert {r.doc_id: r.licence_id for r in licences.scan(swapped).collect()} == dict(enumerate(names))
 
 
 def test_licences_as_whole_files(spark):
@@ -432,6 +482,51 @@ def test_licences_as_whole_files(spark):
     assert [(k, found[k]) for k in range(len(want))] == [(k, name) for k, (_, name) in enumerate(want)]
 
 
+def plain_canonical(text):
+    """The canonical form, written line by line without the operator's patterns."""
+    kept = []
+    for line in (text or "").lower().split("\n"):
+        bare = line.lstrip("".join(c for c in map(chr, range(128)) if not c.isalnum()) + "©")
+        sign = line[: len(line) - len(bare)]
+        words = bare.replace(":", " ").split()
+        named = len(words) > 1 and words[0] == "copyright" and words[1].strip("(),.") not in licence_prose and words[1:3] != ["the", "software"]
+        if "(c" in sign or "©" in sign or bare.startswith("spdx-") or named or bare.rstrip(" .!") == "all rights reserved":
+            continue
+        kept.append(line)
+    out = "".join(c if c.isalnum() else " " for c in "\n".join(kept))
+    out = " ".join(out.split()) + " "
+    for one, other in licences.SPELLINGS.items():
+        out = out.replace(one, other)
+    return out.strip()
+
+
+licence_prose = {"and", "holder", "holders", "notice", "license", "licence", "law", "in", "owner", "is"}
+
+
+def test_licences_planted_among_documents(spark, data):
+    """Whole licences in other dress planted among real documents: exactly these are found, as by a plain canonical form."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    dress = [
+        lambda t: t,
+        lambda t: "Copyright (c) 2021 Ada Example\n\n" + t.upper(),
+        lambda t: "\n".join(textwrap.wrap(t, 60, break_long_words=False, break_on_hyphens=False)),
+        lambda t: t.replace("license", "licence").replace(",", " ,"),
+    ]
+    planted = [(10**6 + 10 * k + j, f(LICENCES[name]), name) for k, name in enumerate(sorted(LICENCES)) for j, f in enumerate(dress)]
+    planted = [p for p in planted if not (p[0] % 10 == 2 and p[2] in LONG_LINES)]
+    near = [(2 * 10**6 + k, LICENCES[name] + "\nOne more clause.") for k, name in enumerate(sorted(LICENCES))]
+    df = spark.createDataFrame([*docs, *[p[:2] for p in planted], *near], "doc_id bigint, text string")
+    found = {r.doc_id: r.licence_id for r in licences.scan(df).collect()}
+    assert {d: x for d, x in found.items() if x} == {d: name for d, _, name in planted}
+    known = {plain_canonical(t): name for name, t in LICENCES.items() if name in ("MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "MIT-0")}
+    want = {d: known[plain_canonical(t)] for d, t, name in planted if plain_canonical(t) in known}
+    assert want and all(found[d] == name for d, name in want.items()) and len(want) >= 7 * 4
+
+
+#: Their own line ends carry meaning for the pattern of copyright lines, so they are not wrapped anew here.
+LONG_LINES = {name for name, text in LICENCES.items() if len(text) > 3000} | {"Unicode-3.0"}
+
+
 def test_licences_large_table_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(licences, "MAX_BROADCAST", 0)
     (r,) = licences.scan(spark.createDataFrame([(1, LICENCES["ISC"])], "doc_id bigint, text string")).collect()
@@ -457,10 +552,10 @@ def test_chat_picks_best_branches(spark):
     ]
     df = spark.createDataFrame(nodes, NODE)
     found = rows(chat.format_trees(df, top=2).orderBy("tree", "rank"))
-    assert [(r["tree"], r["leaf"], r["rank"], r["n_turns"]) for r in found] == [(1, 4, 1, 3), (1, 5, 2, 3), (2, 2, 1, 1), (2, 1, 2, 1)]
-    assert found[0]["formatted"] == "<|turn|>user\nq<|end|>\n<|turn|>assistant\ngood<|end|>\n<|turn|>user\nthanks<|end|>\n"
-    ((start, length),) = found[0]["loss_spans"]
-    assert found[0]["formatted"][start : start + length] == "good"
+    assert [(r["tree"], r["leaf"], r["rank"], r["n_turns"]) for r in found] == [(None, 1, 1, 1), (1, 4, 1, 3), (1, 5, 2, 3), (2, 2, 1, 1), (2, 1, 2, 1)]
+    assert found[1]["formatted"] == "<|turn|>user\nq<|end|>\n<|turn|>assistant\ngood<|end|>\n<|turn|>user\nthanks<|end|>\n"
+    ((start, length),) = found[1]["loss_spans"]
+    assert found[1]["formatted"][start : start + length] == "good"
 
 
 def test_chat_round_trip(spark):
@@ -475,13 +570,30 @@ def test_chat_round_trip(spark):
     assert r.loss == "".join(t or "" for t in hostile[1::2])
 
 
-def test_chat_long_thread_and_loop(spark):
+def test_chat_long_thread(spark):
     df = spark.range(300).selectExpr("1 AS conv_id", "id AS turn", "'user' AS role", "cast(id AS string) AS text")
     (r,) = chat.format_trees(chat.threads(df)).collect()
     assert r.n_turns == 300 and re.findall(r"\n(\d+)<", r.formatted) == [str(k) for k in range(300)]
-    loop = spark.createDataFrame([(1, 1, 2, "u", "a", 0.0), (1, 2, 1, "u", "b", 0.0)], NODE)
-    with pytest.raises(ValueError, match="loop"):
-        chat.format_trees(loop)
+
+
+def test_chat_loops_are_cut_and_null_trees_kept(spark):
+    nodes = [
+        (1, 1, 2, "u", "a", 0.0),  # 1 -> 2 -> 3 -> 1: 1 becomes the root
+        (1, 2, 3, "u", "b", 0.0),
+        (1, 3, 1, "u", "c", 0.0),
+        (1, 9, 2, "u", "d", 5.0),  # a branch that leads into the loop
+        (2, 7, 8, "u", "e", 0.0),
+        (2, 8, 7, "u", "f", 0.0),
+        (3, 1, None, "u", "g", 0.0),
+        (None, 1, None, "u", "h", 0.0),
+        (None, 2, 1, "u", "i", 0.0),
+    ]
+    found = chat.format_trees(spark.createDataFrame(nodes, NODE), top=3).collect()
+    got = {(r.tree, r.leaf): "".join(re.findall(r"\n(.)<", r.formatted)) for r in found}
+    assert got == {(1, 9): "acbd", (2, 8): "ef", (3, 1): "g", (None, 2): "hi"}
+    rows = [(None, 1, "user", "x"), (None, 0, "user", "w"), (4, 0, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert sorted((str(r.tree), r.n_turns) for r in chat.format_trees(chat.threads(df)).collect()) == [("4", 1), ("None", 2)]
 
 
 # --- all ---------------------------------------------------------------------------------------------------------------
