@@ -16,28 +16,29 @@ from inkgauge.llm.line_dedup import line_dedup
 from inkgauge.llm.near_dedup import near_dedup
 from inkgauge.llm.packing import pack
 
-#: Texts of so many characters that resemble every learned language less than this are no language; shorter ones say too
-#: little for a score and go only if they have no letter at all.
-MIN_SCORE, MIN_SCORED_CHARS = 0.15, 100
+
+def _own(docs: DataFrame, *taken: str):
+    """The other columns in a struct, whatever they are called and even if there are none."""
+    return F.struct(F.lit(0).alias("__"), *[F.col(c) for c in docs.columns if c not in taken]).alias("own")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without letters (null and empty texts, too) and longer ones that are in no learned language."""
-    own = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own")  # whatever the columns are called
-    found = identify(docs.select(own, "doc_id", "text", "lang"), keep_columns=True)
-    unlike = (F.col("score") < MIN_SCORE) & (F.char_length("text") >= MIN_SCORED_CHARS)
-    kept = found.filter((F.col("lang_pred") != "und") & ~unlike)
+    """Reject what has no language: documents without a letter (null and empty texts, too).  All others stay.
+
+    The table must have doc_id, text and lang; languages are learnt from its own labels.
+    """
+    found = identify(docs.select(_own(docs, "text"), "doc_id", "text", "lang"), keep_columns=True)
+    kept = found.filter(F.col("lang_pred") != "und")
     return kept.select(*[F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of runs of lines of 50 words or more; documents that are left without a word go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = line_dedup(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in others]).alias("own")), min_words=50)
+    done = line_dedup(docs.select("doc_id", "text", _own(docs, "doc_id", "text")), min_words=50)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    kind = docs.schema["n_chars"].dataType if "n_chars" in others else None
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
     new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast(kind or "bigint")}
-    return done.filter(~emptied).select(*[new.get(c, F.col("own").getField(c)).alias(c) for c in docs.columns])
+    return done.filter(~emptied).select(*[new[c].alias(c) if c in new else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
