@@ -43,7 +43,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = {name: QUERIES[name] for name in HEADLINE}
-    if importlib.util.find_spec("inkgauge.llm"):
+    if importlib.util.find_spec("inkgauge.llm") and not os.environ.get("BENCH_ENGINE_ONLY"):
         from inkgauge.llm.queries import QUERIES as LLM
 
         queries |= LLM

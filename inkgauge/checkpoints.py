@@ -6,12 +6,16 @@ Nothing here needs a model library: what the machine offers is passed in, and he
 from __future__ import annotations
 
 import json
+import os
 import struct
 from pathlib import Path
 from typing import NamedTuple
 
 #: Kinds of models and the tokens they read. Fixed values.
 MAX_TOKENS = {"llama": 1024, "roberta": 512}
+KINDS = tuple(MAX_TOKENS)
+#: Kinds that the default bands are tuned for. Fixed value.
+CALIBRATED = ("llama",)
 #: Windows a batch: fixed off CUDA, at most so many on it; the share of free memory to plan for; activations per window.
 WIDTH, MOST_WINDOWS, MEMORY_SHARE, ACTIVATIONS = 8, 64, 0.5, 24
 
@@ -56,6 +60,23 @@ def batch_width(windows: int, runtime: Runtime, machine: Machine, *, intermediat
     return max(1, min(windows, MOST_WINDOWS, int(machine.free_bytes * MEMORY_SHARE / window)))
 
 
+def find_checkpoint(kind: str, folder: str | None = None) -> str:
+    """The folder of a kind of model: below ``folder``, or below what INKGAUGE_CHECKPOINTS names."""
+    root = folder or os.environ.get("INKGAUGE_CHECKPOINTS")
+    where = Path(root) / kind if root else None
+    if where is None or not where.is_dir():
+        raise FileNotFoundError(
+            f"no checkpoint of a {kind} model{f' in {root}' if root else ''}: give the folder that holds it with --checkpoints "
+            "(or INKGAUGE_CHECKPOINTS), a checkpoint with -m, or score by length alone with -m stub"
+        )
+    return str(where)
+
+
+def adapter_base(folder: str) -> str:
+    """The base model that an adapter names."""
+    return json.loads((Path(folder) / "adapter_config.json").read_text())["base_model_name_or_path"]
+
+
 def is_adapter(folder: str) -> bool:
     """Whether a checkpoint is an adapter on a base model."""
     return (Path(folder) / "adapter_config.json").is_file()

@@ -19,3 +19,13 @@ def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
     expression names its input once, a chain of projections then grows by addition and not by multiplication.
     """
     return F.get(F.transform(F.array(as_column(value)), body), F.lit(0))
+
+
+def quoted(text: str) -> str:
+    """A string literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """The same as SQL: ``body`` with ``value`` under ``name``. One text costs one call to the JVM, a tree of Columns hundreds."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"

@@ -6,32 +6,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import as_column as _col
-from .binding import let
+from .binding import let, let_sql
 
 #: Probabilities are raised to this inside the logarithm of the entropy, and only there.
 ENTROPY_FLOOR = 1e-9
 
 
-def round_exact(c: Column | str, places: int) -> Column:
-    """Round the exact binary value, halves to even, as Python's ``round``.
+def round_sql(x: str, places: int) -> str:
+    """Round the exact binary value, halves to even, as Python's ``round``; as SQL.
 
     Scaled by 10^places the value is a product p with a rounding error e, which two-part multiplication gives exactly;
     only where p lies on a half does the sign of e decide.
     """
-    scale = float(10**places)
+    scale = f"{10**places}D"
+    high = "(v * 134217729D - (v * 134217729D - v))"  # 2^27 + 1 cuts a double into two halves
+    error = f"(({high} * {scale} - v * {scale}) + (v - {high}) * {scale})"
+    low, near = f"CAST(floor(v * {scale}) AS DOUBLE)", f"rint(v * {scale})"
+    exact = f"CASE WHEN {error} > 0 THEN {low} + 1 WHEN {error} < 0 THEN {low} ELSE {near} END"
+    return let_sql("v", f"CAST({x} AS DOUBLE)", f"CASE WHEN v * {scale} - {low} = 0.5D THEN {exact} ELSE {near} END / {scale}")
 
-    def error(x: Column) -> Column:
-        split = x * 134217729.0  # 2^27 + 1 cuts a double into two halves
-        high = split - (split - x)
-        return (high * scale - x * scale) + (x - high) * scale
 
-    def rounded(x: Column) -> Column:
-        low = F.floor(x * scale).cast("double")
-        tie = (x * scale - low) == 0.5
-        exact = F.when(error(x) > 0, low + 1).when(error(x) < 0, low).otherwise(F.rint(x * scale))
-        return F.when(tie, exact).otherwise(F.rint(x * scale)) / scale
+def round_exact(c: Column | str, places: int) -> Column:
+    """:func:`round_sql` of a column or expression."""
+    if isinstance(c, str):
+        return F.expr(round_sql(f"`{c}`", places))
+    return F.call_function("get", F.transform(F.array(c.cast("double")), lambda x: _rounded(x, places)), F.lit(0))
 
-    return let(_col(c).cast("double"), rounded)
+
+def _rounded(x: Column, places: int) -> Column:
+    scale = float(10**places)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * scale - x * scale) + (x - high) * scale
+    low, near = F.floor(x * scale).cast("double"), F.rint(x * scale)
+    return F.when((x * scale - low) == 0.5, F.when(error > 0, low + 1).when(error < 0, low).otherwise(near)).otherwise(near) / scale
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .binding import as_column as _col
 from .binding import let
-from .emoji import EMOJI_CLASS, MAYBE_EMOJI, emoji_names
+from .emoji import EMOJI_CLASS, MAYBE_EMOJI, TOKEN, emoji_names
 
 #: The 29 code points that count as white space, as a character class for the JVM's regex.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -32,16 +33,28 @@ def normalize_whitespace(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), f"{SPACE}+", " "))
 
 
-def normalize_emoji(c: Column | str) -> Column:
-    """Each emoji becomes ``:its_name:``; texts without any are passed on by a cheap test."""
-    names = F.from_json(F.lit(json.dumps(emoji_names())), "map<string,string>")  # folded to a constant by the optimizer
+def normalize_emoji(c: Column | str, more: Mapping[str, str] | None = None) -> Column:
+    """Each emoji becomes ``:its_name:``; texts without any are passed on by a cheap test.
+
+    The longest sequence counts: skin tones, joined persons, flags and keycaps have one name. A sequence without a name is
+    spelled part by part. A presentation selector belongs to the emoji before it. ``more``: names that go before the rules'.
+    """
+    names = F.from_json(F.lit(json.dumps(emoji_names(more))), "map<string,string>")  # folded to a constant by the optimizer
+    known = lambda x: F.try_element_at(names, x)
+
+    def by_part(token: Column) -> Column:
+        return F.array_join(F.transform(F.split(token, ""), lambda x: F.coalesce(known(x), x)), "")
+
+    def named(token: Column) -> Column:
+        emoji = token.rlike(f"^(?:{EMOJI_CLASS}|[\\x{{1F1E6}}-\\x{{1F1FF}}]|[0-9#*]\\x{{FE0F}}?\\x{{20E3}})")
+        bare = F.regexp_replace(token, "\\x{FE0F}", "")
+        return F.when(emoji, let(bare, lambda b: F.coalesce(known(b), by_part(b)))).otherwise(token)
 
     def spelled(text: Column) -> Column:
-        # a variation selector belongs to the emoji before it
-        parts = F.split(F.regexp_replace(text, "\\x{FE0F}", ""), "")
-        return F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(names, x), x)), "")
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), named), "")
 
-    found = lambda text: F.when(text.rlike(EMOJI_CLASS), spelled(text)).otherwise(text)
+    there = f"{EMOJI_CLASS}|\\x{{20E3}}|[\\x{{1F1E6}}-\\x{{1F1FF}}]"
+    found = lambda text: F.when(text.rlike(there), spelled(text)).otherwise(text)
     return let(_col(c), lambda text: F.when(text.rlike(MAYBE_EMOJI), found(text)).otherwise(text))
 
 

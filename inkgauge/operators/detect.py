@@ -11,11 +11,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
-from ..functions.numeric import round_exact
+from ..functions.binding import let_sql, quoted
+from ..functions.numeric import round_exact, round_sql
 from ..functions.text import PREVIEW_CHUNK, PREVIEW_WIRE_CHUNK, clean_text, preview, words
 from ..scorers import add_scores
-from .bands import DEFAULT, UNRELIABLE, Band, band_label
+from .bands import DEFAULT, UNRELIABLE, Band, band_label, band_sql
 from .windows import WINDOW_WORDS, window_array
 
 MIN_WORDS = 50
@@ -27,35 +27,25 @@ DETECTION_COLUMNS = (
 WIRE_CHUNK = ("index", "score", "band", "n_words", "word_start", "word_end", "confidence", "truncated", "preview")
 
 
-def _weighted(chunks: Column, name: str) -> Column:
-    """Mean of a chunk field by words, summed in the order of the chunks so that it is the same everywhere."""
+def _weighted(chunks: str, name: str) -> str:
+    """Mean of a chunk field by words, as SQL; summed in the order of the chunks so that it is the same everywhere."""
+    total = f"aggregate(c, 0D, (t, x) -> t + x.{name} * x.n_words)"
+    return let_sql("c", chunks, f"try_divide({total}, CAST(aggregate(c, 0, (t, x) -> t + x.n_words) AS DOUBLE))")
 
-    def mean(some: Column) -> Column:
-        total = F.aggregate(some, F.lit(0.0), lambda s, c: s + c[name] * c["n_words"])
-        return F.try_divide(total, F.aggregate(some, F.lit(0), lambda s, c: s + c["n_words"]).cast("double"))
 
-    return let(chunks, mean)
-
-
-def chunk_array(windows: str, scores: str, bands: Sequence[Band]) -> Column:
+def chunk_sql(windows: str, scores: str, bands: Sequence[Band]) -> str:
     """Windows and their scores as chunk results: band from the score as it is, numbers rounded to 4 places."""
+    fields = {
+        "index": "w.index", "score": round_sql("s.score", 4), "bucket": "s.bucket", "band": band_sql("s.score", bands),
+        "n_words": "w.n_words", "word_start": "w.word_start", "word_end": "w.word_end", "confidence": round_sql("s.confidence", 4),
+        "truncated": "s.truncated", "probs": f"transform(s.probs, p -> {round_sql('p', 4)})", "preview": f"substring(w.text, 1, {PREVIEW_CHUNK})",
+    }
+    return f"zip_with({windows}, {scores}, (w, s) -> named_struct({', '.join(f'{quoted(k)}, {v}' for k, v in fields.items())}))"
 
-    def chunk(w: Column, s: Column) -> Column:
-        return F.struct(
-            w["index"].alias("index"),
-            round_exact(s["score"], 4).alias("score"),
-            s["bucket"].alias("bucket"),
-            band_label(s["score"], bands).alias("band"),
-            w["n_words"].alias("n_words"),
-            w["word_start"].alias("word_start"),
-            w["word_end"].alias("word_end"),
-            round_exact(s["confidence"], 4).alias("confidence"),
-            s["truncated"].alias("truncated"),
-            F.transform(s["probs"], lambda p: round_exact(p, 4)).alias("probs"),
-            F.substring(w["text"], 1, PREVIEW_CHUNK).alias("preview"),
-        )
 
-    return F.zip_with(windows, scores, chunk)
+def chunk_array(windows: str, scores: str, bands: Sequence[Band]) -> Column:
+    """:func:`chunk_sql` of two columns."""
+    return F.expr(chunk_sql(f"`{windows}`", f"`{scores}`", bands))
 
 
 def chunk_rows(scored: DataFrame, *keys: str, bands: Sequence[Band] = DEFAULT) -> DataFrame:
@@ -77,12 +67,48 @@ def chunk_rows(scored: DataFrame, *keys: str, bands: Sequence[Band] = DEFAULT) -
     )
 
 
-def scored_windows(docs: DataFrame, scorer: Any, *, text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
-    """Add n_words, windows and scores (arrays) to the rows."""
+def windowed(docs: DataFrame, *, text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
+    """Add n_words and windows (an array) to the rows."""
     # each step is a projection of its own: the cleaned text is computed once
     step = docs.withColumn("__words", words(clean_text(F.coalesce(F.col(text_col), F.lit("")))))
-    step = step.withColumn("n_words", F.size("__words")).withColumn("windows", window_array("__words", window_words)).drop("__words")
-    return add_scores(step, scorer, "windows", "scores")
+    return step.withColumn("n_words", F.size("__words")).withColumn("windows", window_array("__words", window_words)).drop("__words")
+
+
+def scored_windows(docs: DataFrame, scorer: Any, *, text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
+    """Add n_words, windows and scores (arrays) to the rows."""
+    return add_scores(windowed(docs, text_col=text_col, window_words=window_words), scorer, "windows", "scores")
+
+
+def _own(docs: DataFrame, text_col: str, *taken: str) -> tuple[list[str], DataFrame]:
+    """The row's own columns in a struct, whatever they are called, and its text."""
+    keys = [c for c in docs.columns if c != text_col and c not in taken]
+    return keys, docs.select(F.struct(F.lit(0).alias("__"), *keys).alias("__own"), F.col(text_col).alias("__text"))
+
+
+def _results(step: DataFrame, scorer: Any, scores: str, bands: Sequence[Band], min_words: int) -> DataFrame:
+    """Add ``r``: a struct of DETECTION_COLUMNS and latency_s, from windows and their scores."""
+    step = step.withColumn("__chunks", chunk_array("windows", scores, bands))
+    means = {f"__{k}": F.expr(f"coalesce({_weighted('__chunks', v)}, 0D)") for k, v in (("score", "score"), ("sure", "confidence"))}
+    step = step.withColumns(means)
+    # the position of the largest score is the index of its first chunk
+    first_top = let_sql("t", "transform(__chunks, x -> x.score)", "CAST(array_position(t, array_max(t)) AS INT) - 1")
+    fields = {
+        "score": round_sql("__score", 4),
+        "band": f"CASE WHEN n_words >= {min_words} THEN {band_sql('__score', bands)} ELSE {quoted(UNRELIABLE)} END",
+        "bucket": f"CAST(rint(__score * {scorer.n_buckets - 1}) AS INT)",
+        "n_words": "n_words",
+        "n_chunks": "size(__chunks)",
+        "reliable": f"n_words >= {min_words}",
+        "confidence": round_sql("__sure", 4),
+        "truncated": "exists(__chunks, x -> x.truncated)",
+        "model": quoted(scorer.name),
+        "calibrated": str(bool(scorer.calibrated)).lower(),
+        "most_ai_chunk": first_top,
+        "chunks": "__chunks",
+        "latency_s": f"aggregate({scores}, 0D, (t, x) -> t + x.latency_s)",
+    }
+    found = F.expr(f"named_struct({', '.join(f'{quoted(k)}, {v}' for k, v in fields.items())})")
+    return step.withColumn("r", found).drop("__chunks", "__score", "__sure")
 
 
 def detect(
@@ -93,6 +119,7 @@ def detect(
     bands: Sequence[Band] = DEFAULT,
     window_words: int = WINDOW_WORDS,
     min_words: int = MIN_WORDS,
+    with_latency: bool = False,
 ) -> DataFrame:
     """One result per row: the row's columns without the text, and DETECTION_COLUMNS (and ``preview`` of the text).
 
@@ -100,46 +127,30 @@ def detect(
 
     The score is the mean of the rounded chunk scores by words; bucket and band come from it before it is rounded. A
     document of fewer than ``min_words`` words is unreliable; one without words has score 0 and no chunks.
+    ``with_latency`` adds latency_s: the model's time for the document's windows (null where a scorer is an expression).
     """
-    keys = [c for c in docs.columns if c != text_col and c not in (*DETECTION_COLUMNS, "preview")]
-    # the row's own columns wait in a struct, whatever they are called
-    step = docs.select(F.struct(F.lit(0).alias("__"), *keys).alias("__own"), F.col(text_col).alias("__text"))
+    shown = (*DETECTION_COLUMNS, "latency_s") if with_latency else DETECTION_COLUMNS
+    keys, step = _own(docs, text_col, *shown, "preview")
     step = scored_windows(step, scorer, text_col="__text", window_words=window_words)
-    step = step.select("__own", "__text", "n_words", chunk_array("windows", "scores", bands).alias("chunks"))
-    step = step.withColumn("__score", F.coalesce(_weighted(F.col("chunks"), "score"), F.lit(0.0)))
-    step = step.withColumn("__sure", F.coalesce(_weighted(F.col("chunks"), "confidence"), F.lit(0.0)))
-    reliable = F.col("n_words") >= min_words
-    # the position of the largest score is the index of its first chunk
-    first_top = let(F.transform("chunks", lambda c: c["score"]), lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1)
-    return step.select(
-        *[F.col("__own").getField(k).alias(k) for k in keys],
-        round_exact("__score", 4).alias("score"),
-        F.when(reliable, band_label("__score", bands)).otherwise(UNRELIABLE).alias("band"),
-        F.rint(F.col("__score") * (scorer.n_buckets - 1)).cast("int").alias("bucket"),
-        "n_words",
-        F.size("chunks").alias("n_chunks"),
-        reliable.alias("reliable"),
-        round_exact("__sure", 4).alias("confidence"),
-        F.exists("chunks", lambda c: c["truncated"]).alias("truncated"),
-        F.lit(scorer.name).alias("model"),
-        F.lit(scorer.calibrated).alias("calibrated"),
-        first_top.alias("most_ai_chunk"),
-        "chunks",
-        preview("__text").alias("preview"),
-    )
+    step = _results(step, scorer, "scores", bands, min_words)
+    return step.select(*[F.col("__own").getField(k).alias(k) for k in keys], *[F.col("r")[c].alias(c) for c in shown], preview("__text").alias("preview"))
 
 
-def weighted_probs(chunks: Column | str) -> Column:
-    """Mean of the chunks' probability vectors by words; empty array without chunks."""
+def detect_both(docs: DataFrame, one: Any, two: Any, *, text_col: str = "text", bands: Sequence[Band] = DEFAULT) -> DataFrame:
+    """The results of two scorers side by side, as structs ``a`` and ``b``: texts are cleaned and cut once, nothing is joined."""
+    keys, step = _own(docs, text_col, "a", "b", "preview")
+    step = windowed(step, text_col="__text")
+    for name, scorer in (("a", one), ("b", two)):
+        step = _results(add_scores(step, scorer, "windows", "scores"), scorer, "scores", bands, MIN_WORDS).drop("scores").withColumnRenamed("r", name)
+    return step.select(*[F.col("__own").getField(k).alias(k) for k in keys], "a", "b", preview("__text").alias("preview"))
 
-    def mean(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0), lambda s, x: s + x["n_words"]).cast("double")
-        width = F.coalesce(F.size(F.get(c, F.lit(0))["probs"]), F.lit(0))
-        summed = F.aggregate(c, F.array_repeat(F.lit(0.0), width), lambda s, x: F.zip_with(s, x["probs"], lambda a, p: a + p * x["n_words"]))
-        shares = let(total, lambda n: F.transform(summed, lambda v: v / n))
-        return F.when(F.size(c) > 0, shares).otherwise(F.array().cast("array<double>"))
 
-    return let(chunks, mean)
+def weighted_probs(chunks: str) -> Column:
+    """Mean of the chunks' probability vectors by words; empty array without chunks. ``chunks``: a column or a path of one."""
+    total = "CAST(aggregate(c, 0, (t, x) -> t + x.n_words) AS DOUBLE)"
+    summed = "aggregate(c, array_repeat(0D, coalesce(size(get(c, 0).probs), 0)), (t, x) -> zip_with(t, x.probs, (a, p) -> a + p * x.n_words))"
+    shares = let_sql("n", total, f"transform({summed}, v -> v / n)")
+    return F.expr(let_sql("c", chunks, f"CASE WHEN size(c) > 0 THEN {shares} ELSE CAST(array() AS ARRAY<DOUBLE>) END"))
 
 
 def wire(results: DataFrame) -> DataFrame:

@@ -5,30 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
+from ..functions.binding import let_sql
 
 WINDOW_WORDS = 350
 
 
-def window_array(words: Column | str, size: int = WINDOW_WORDS) -> Column:
-    """Array of (index, text, n_words, word_start, word_end); empty for no words, null for null."""
-
-    def window(w: Column, start: Column, i: Column) -> Column:
-        end = F.least(start + size, F.size(w))
-        return F.struct(
-            i.cast("int").alias("index"),
-            F.array_join(F.slice(w, start + 1, size), " ").alias("text"),
-            (end - start).cast("int").alias("n_words"),
-            start.cast("int").alias("word_start"),
-            end.cast("int").alias("word_end"),
-        )
-
-    def windows(w: Column) -> Column:
-        # for no words the sequence has one start, which the slice takes away: sequence() would count downwards
-        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
-        return F.transform(F.slice(starts, 1, F.ceil(F.size(w) / size).cast("int")), lambda start, i: window(w, start, i))
-
-    return let(words, lambda w: F.when(w.isNotNull(), windows(w)))
+def window_array(words: str, size: int = WINDOW_WORDS) -> Column:
+    """Array of (index, text, n_words, word_start, word_end) from a column of words; empty for no words, null for null."""
+    end = f"least(b + {size}, size(w))"
+    window = (
+        f"named_struct('index', CAST(i AS INT), 'text', array_join(slice(w, b + 1, {size}), ' '), 'n_words', CAST({end} - b AS INT), "
+        f"'word_start', CAST(b AS INT), 'word_end', CAST({end} AS INT))"
+    )
+    # for no words the sequence has one start, which the slice takes away: sequence() would count downwards
+    starts = f"slice(sequence(0, greatest(size(w) - 1, 0), {size}), 1, CAST(ceil(size(w) / {size}) AS INT))"
+    return F.expr(let_sql("w", f"`{words}`", f"CASE WHEN w IS NOT NULL THEN transform({starts}, (b, i) -> {window}) END"))
 
 
 def explode_windows(df: DataFrame, *keys: str, windows_col: str = "windows") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators.stats import POISSON
+from .queries import MARKS
+
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _OPENS = " OR ".join(f"starts_with(first, '{p}')" for p in ("Sure", "Here", "Abstract", "Title", "I''m happy to help", "Certainly"))
 
@@ -42,28 +45,36 @@ def _band(score: str) -> str:
         WHEN {score} < 0.90 THEN 'heavily edited' ELSE 'fully AI' END"""
 
 
-def _chunks(key: str, scale: int) -> str:
+def _r4(x: str) -> str:
+    """Four places of the exact binary value, halves to even."""
+    return f"CAST(format('{{:.4f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
+def _chunks(key: str, scale: int, most: int = 2400) -> str:
+    """CTE ``chunks``: of a window with share s of the scale; confidence and cut as the varied stub gives them."""
     return f"""
     raw_scores AS (SELECT *, least(1.0, CAST(length(wtext) AS DOUBLE) / {scale}.0) AS s FROM windows),
-    chunks AS (SELECT *, round(s, 4) AS score, {_band("s")} AS cband FROM raw_scores)"""
+    chunks AS (SELECT *, {_r4("s")} AS score, {_band("s")} AS cband, {_r4("wn / 400.0::DOUBLE")} AS varied, length(wtext) > {most} AS cut FROM raw_scores)"""
 
 
 def _results(key: str, more: str = "") -> str:
     """CTE ``results``: key, more, score (4 places), agg, band, bucket, n_words, n_chunks, reliable, confidence, top_index, top."""
     return f"""
-    sums AS (SELECT {key}, sum(score * wn) / sum(wn) AS agg, count(*) AS n_chunks, max(score) AS top,
+    sums AS (SELECT {key}, sum(score * wn ORDER BY idx) / sum(wn) AS agg, count(*) AS n_chunks, max(score) AS top,
+                    sum(varied * wn ORDER BY idx) / sum(wn) AS sure, bool_or(cut) AS cut,
                     min(struct_pack(a := -score, b := idx)).b AS top_index FROM chunks GROUP BY {key}),
     results AS (
-      SELECT c.* EXCLUDE (words), round(coalesce(agg, 0.0), 4) AS score, coalesce(agg, 0.0) AS agg,
+      SELECT c.* EXCLUDE (words), {_r4("coalesce(agg, 0.0)")} AS score, coalesce(agg, 0.0) AS agg,
              CASE WHEN len(words) >= 50 THEN {_band("agg")} ELSE 'unreliable' END AS band,
              CAST(round_even(coalesce(agg, 0.0) * 3, 0) AS INTEGER) AS bucket, CAST(len(words) AS INTEGER) AS n_words,
              CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_chunks, len(words) >= 50 AS reliable,
-             CASE WHEN n_chunks IS NULL THEN 0.0 ELSE 0.9 END AS confidence, top_index, top
+             CASE WHEN n_chunks IS NULL THEN 0.0 ELSE 0.9 END AS confidence, {_r4("coalesce(sure, 0.0)")} AS varied, coalesce(cut, false) AS cut,
+             top_index, top
       FROM cleaned c LEFT JOIN sums USING ({key}))"""
 
 
-def _detected(scale: int = 10_000, table: str = "documents", key: str = "doc_id", more: str = "") -> str:
-    return ",".join([_clean(table, key, more), _windows(key, more), _chunks(key, scale), _results(key, more)])
+def _detected(scale: int = 10_000, table: str = "documents", key: str = "doc_id", more: str = "", most: int = 2400) -> str:
+    return ",".join([_clean(table, key, more), _windows(key, more), _chunks(key, scale, most), _results(key, more)])
 
 
 def _scored() -> str:
@@ -76,19 +87,19 @@ def _scored() -> str:
 
 def _describe(x: str) -> str:
     q = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
-    quantiles = {k: f"round(quantile_cont({x}, {p}), 6) AS {k}" for k, p in q.items()}
+    quantiles = {k: f"round(quantile_cont({x}, {p}), 9) AS {k}" for k, p in q.items()}
     return (
-        f"count({x}) AS n, round(min({x}), 6) AS min, {quantiles['q25']}, {quantiles['median']}, round(avg({x}), 6) AS mean, "
-        f"{quantiles['q75']}, {quantiles['q90']}, round(max({x}), 6) AS max"
+        f"count({x}) AS n, round(min({x}), 9) AS min, {quantiles['q25']}, {quantiles['median']}, round(avg({x}), 9) AS mean, "
+        f"{quantiles['q75']}, {quantiles['q90']}, round(max({x}), 9) AS max"
     )
 
 
 _DOCS = f"WITH {_clean('documents', 'doc_id')}, {_windows('doc_id')}"
-_LOGITS = """WITH l AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+_LOGITS = """WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
     e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l),
-    p AS (SELECT vec_id, list_transform(e, lambda x: x / (e[1] + e[2] + e[3] + e[4])) AS p FROM e)"""
-_SCORE = "(p[2] + 2 * p[3] + 3 * p[4]) / 3"
-_CONFIDENCE = "1 + (" + " + ".join(f"p[{k}] * ln(greatest(p[{k}], 1e-9))" for k in (1, 2, 3, 4)) + ") / ln(4.0)"
+    p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"""
+_SCORE = "list_sum(list_transform(p, lambda x, i: x * (i - 1))) / (len(p) - 1)"
+_CONFIDENCE = "1 + list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-9)))) / ln(len(p)::DOUBLE)"
 _TOP = "CAST(list_position(p, list_max(p)) - 1 AS INTEGER)"
 _SIMPLE = "WITH s AS (SELECT doc_id, least(n_chars, 6000) / 6000.0 AS score FROM documents)"
 _TURNS = f"WITH {_clean('conversations', 'conv_id, turn')}, {_windows('conv_id, turn')}, {_chunks('conv_id, turn', 1000)}, {_results('conv_id, turn')}"
@@ -121,6 +132,29 @@ _SWEEP = """grid AS (SELECT CAST(i AS DOUBLE) / 100 AS t FROM range(101) r(i)),
                WHERE bal = (SELECT max(bal) FROM {name}_b))"""
 
 
+_POISSON = ", ".join(f"{p!r}::DOUBLE" for p in POISSON)
+
+
+def _drawn(columns: str, draws: int) -> str:
+    """CTE ``drawn``: rows of ``scored`` with draw and times, how often the draw has the row."""
+    return f"""chances AS (SELECT {columns}, draw, CAST('0x' || substr(md5('0:' || draw || ':' || sample_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+          FROM scored, range({draws}) d(draw)),
+        drawn AS (SELECT * EXCLUDE (u), len(list_filter([{_POISSON}], lambda p: p <= u)) AS times FROM chances WHERE u >= {POISSON[0]!r}::DOUBLE)"""
+
+
+def _ranked(name: str, col: str) -> str:
+    """CTE ``<name>_rank``: mean rank r of each value v in each draw."""
+    return f"""{name}_n AS (SELECT draw, {col} AS v, sum(times) AS n FROM drawn GROUP BY draw, {col}),
+        {name}_rank AS (SELECT draw, v, sum(n) OVER (PARTITION BY draw ORDER BY v) - n + (n + 1) / 2.0::DOUBLE AS r FROM {name}_n)"""
+
+
+def _area(name: str, positive: str) -> str:
+    """CTE ``name``: AUROC v of each draw."""
+    return f"""{name}_n AS (SELECT draw, model_score AS s, sum(times * ({positive})::INT) AS p, sum(times * (NOT ({positive}))::INT) AS q FROM drawn GROUP BY draw, model_score),
+        {name}_b AS (SELECT *, sum(q) OVER (PARTITION BY draw ORDER BY s) - q / 2.0::DOUBLE AS before FROM {name}_n),
+        {name} AS (SELECT draw, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN sum(p * before) / (sum(p) * sum(q)::DOUBLE) END AS v FROM {name}_b GROUP BY draw)"""
+
+
 def _sweeps() -> str:
     first, *rest = (_SWEEP.format(name=n, least=k) for n, k in (("human", 1), ("light", 2), ("top_cut", 3)))
     return ",".join([first, *(r.split(",\n", 1)[1] for r in rest)])
@@ -134,21 +168,20 @@ ORACLE_SQL: dict[str, str] = {
     "reliability_filter": f"{_DOCS} SELECT doc_id, CAST(len(words) AS INTEGER) AS n_words FROM cleaned WHERE len(words) >= 50",
     "word_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS BIGINT) AS n_words FROM documents",
     "chunk_scores": f"""{_DOCS}, {_chunks('doc_id', 2500)} SELECT doc_id, idx AS index, score, CAST(round_even(s * 3, 0) AS INTEGER) AS bucket,
-        cband AS band, wn AS n_words, word_start, word_end, 0.9::DOUBLE AS confidence, false AS truncated, substr(wtext, 1, 60) AS preview FROM chunks""",
+        cband AS band, wn AS n_words, word_start, word_end, varied AS confidence, cut AS truncated, substr(wtext, 1, 60) AS preview FROM chunks""",
     "chunk_heatmap": f"""{_DOCS}, {_chunks('doc_id', 2500)}, strips AS (SELECT doc_id,
         string_agg(substr('▁▂▃▄▅▆▇█', CAST(least(7, floor(score * 8)) AS INTEGER) + 1, 1), '' ORDER BY idx) AS strip FROM chunks GROUP BY doc_id)
         SELECT doc_id, coalesce(strip, '') AS strip FROM cleaned LEFT JOIN strips USING (doc_id)""",
-    "detect_documents": f"""WITH {_detected()} SELECT doc_id, round(score, 3) AS score, band, bucket, n_words, n_chunks, reliable,
-        confidence::DOUBLE AS confidence, false AS truncated, top_index AS most_ai_chunk FROM results""",
+    "detect_documents": f"""WITH {_detected()} SELECT doc_id, score, band, bucket, n_words, n_chunks, reliable,
+        varied AS confidence, cut AS truncated, top_index AS most_ai_chunk FROM results""",
     "most_ai_chunk": f"WITH {_detected(2500)} SELECT doc_id, top_index AS most_ai_chunk, top AS top_score FROM results",
     "decode_logits": f"{_LOGITS} SELECT vec_id, round({_SCORE}, 6) AS score, {_TOP} AS bucket FROM p",
     "decode_confidence": f"{_LOGITS} SELECT vec_id, round({_CONFIDENCE}, 6) AS confidence FROM p",
     "logits_scorer": f"""{_LOGITS} SELECT vec_id, round({_SCORE}, 6) AS score, {_TOP} AS bucket, round({_CONFIDENCE}, 6) AS confidence,
         vec_id > 100 AS truncated FROM p""",
-    "document_probs": f"""{_DOCS}, {_chunks('doc_id', 2500)}, sums AS (SELECT doc_id, sum(round(1 - s, 4) * wn) / sum(wn) AS p0,
-        sum(round(s, 4) * wn) / sum(wn) AS p3 FROM chunks GROUP BY doc_id)
-        SELECT doc_id, round(p0, 6) AS p0, CASE WHEN p0 IS NOT NULL THEN 0.0::DOUBLE END AS p1, CASE WHEN p0 IS NOT NULL THEN 0.0::DOUBLE END AS p2,
-        round(p3, 6) AS p3 FROM cleaned LEFT JOIN sums USING (doc_id)""",
+    "document_probs": f"""{_DOCS}, {_chunks('doc_id', 2500)}, sums AS (SELECT doc_id, sum({_r4("(1 - s) * 0.5")} * wn) / sum(wn) AS p0,
+        sum({_r4("s * 0.25")} * wn) / sum(wn) AS p2, sum({_r4("s * 0.75")} * wn) / sum(wn) AS p3 FROM chunks GROUP BY doc_id)
+        SELECT doc_id, round(p0, 6) AS p0, round(p0, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3 FROM cleaned LEFT JOIN sums USING (doc_id)""",
     "band_lookup": f"{_SIMPLE} SELECT doc_id, {_band('score')} AS band FROM s",
     "band_range_join": f"""{_SIMPLE}, b(low, high, label) AS (VALUES (-1e308, 0.30, 'human'), (0.30, 0.55, 'lightly edited'),
         (0.55, 0.75, 'moderately edited'), (0.75, 0.90, 'heavily edited'), (0.90, 1e308, 'fully AI'))
@@ -166,7 +199,7 @@ ORACLE_SQL: dict[str, str] = {
     "prose_resolution": f"WITH {_RESOLVED} SELECT doc_id, name AS label, skip_reason, md5(body) AS text_md5 FROM texts",
     "generic_strip": f"WITH {_RESOLVED} SELECT doc_id, md5({_GENERIC}) AS text_md5 FROM texts",
     "scored_targets": f"""WITH {_RESOLVED}, pending AS (SELECT doc_id, body AS text FROM texts WHERE skip_reason IS NULL), {_detected(2500, "pending")}
-        SELECT doc_id AS ordinal, name AS label, round(r.score, 3) AS score, r.band, r.n_words, skip_reason IS NOT NULL AS skipped, skip_reason AS reason
+        SELECT doc_id AS ordinal, name AS label, r.score AS score, r.band, r.n_words, skip_reason IS NOT NULL AS skipped, skip_reason AS reason
         FROM texts LEFT JOIN results r USING (doc_id)""",
     "rankdata": f"""WITH {_scored()} SELECT sample_id, rank() OVER (ORDER BY model_bucket) + (count(*) OVER (PARTITION BY model_bucket) - 1) / 2.0 AS rank
         FROM scored""",
@@ -194,22 +227,46 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT scored.*, CAST(bin AS INTEGER) AS bin FROM scored, e, range(5) r(bin)
               WHERE model_score >= e[bin + 1] AND model_score < e[bin + 2] + CASE WHEN bin = 4 THEN 1e-9 ELSE 0 END)
         SELECT bin, count(*) AS n, round(avg(model_score), 6) AS mean_score, round(avg(gt_bucket / 3.0), 6) AS mean_gt FROM b GROUP BY bin""",
-    "ece": f"""WITH {_scored()}, pr AS (SELECT doc_id, sum(round(1 - s, 4) * wn) / sum(wn) AS p0, sum(round(s, 4) * wn) / sum(wn) AS p3 FROM chunks GROUP BY doc_id),
+    "ece": f"""WITH {_scored()}, pr AS (SELECT doc_id, sum({_r4("1 - s")} * wn) / sum(wn) AS p0, sum({_r4("s")} * wn) / sum(wn) AS p3 FROM chunks GROUP BY doc_id),
         x AS (SELECT greatest(p0, p3) AS top, ((CASE WHEN p0 >= p3 THEN 0 ELSE 3 END) = gt_bucket)::INT AS ok FROM scored JOIN pr ON doc_id = sample_id),
         b AS (SELECT least(9, floor(top * 10)) AS bin, count(*) AS n, avg(top) AS conf, avg(ok) AS acc FROM x GROUP BY bin)
         SELECT round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece FROM b""",
     "worst_disagreements": f"""WITH {_scored()}, w AS (SELECT * FROM scored ORDER BY abs(gt_bucket - model_bucket) + abs(model_score - gt_bucket / 3.0) DESC, sample_id LIMIT 3)
         SELECT sample_id, gt_bucket, model_bucket, model_score FROM w WHERE gt_bucket <> model_bucket""",
-    "source_control": f"WITH {_detected()} SELECT round(avg((bucket = 0)::INT), 6) AS frac_bucket0, {_describe('score')} FROM results",
-    "compare_runs": f"""WITH {_detected(10_000)}, b AS (SELECT doc_id, least(1.0, CAST(length(wtext) AS DOUBLE) / 2500.0) AS s, wn FROM windows),
-        two AS (SELECT doc_id, sum(round(s, 4) * wn) / sum(wn) AS agg2 FROM b GROUP BY doc_id),
-        x AS (SELECT score AS sa, round(agg2, 4) AS sb, bucket AS ba, CAST(round_even(agg2 * 3, 0) AS INTEGER) AS bb FROM results JOIN two USING (doc_id) WHERE reliable)
-        SELECT count(*) AS n, round(avg(abs(sa - sb)), 4) AS score_mae, round(max(abs(sa - sb)), 4) AS max_delta, round(avg((ba <> bb)::INT), 4) AS bucket_flip_rate FROM x""",
+    "compare_runs": f"""WITH {_detected(10_000)}, b AS (SELECT doc_id, idx, least(1.0, CAST(length(wtext) AS DOUBLE) / 2500.0) AS s, wn FROM windows),
+        two AS (SELECT doc_id, sum({_r4("s")} * wn ORDER BY idx) / sum(wn) AS agg2 FROM b GROUP BY doc_id),
+        x AS (SELECT score AS sa, {_r4("agg2")} AS sb, bucket AS ba, CAST(round_even(agg2 * 3, 0) AS INTEGER) AS bb FROM results JOIN two USING (doc_id) WHERE reliable)
+        SELECT count(*) AS n, round(avg(abs(sa - sb)), 6) AS score_mae, round(max(abs(sa - sb)), 6) AS max_delta, round(avg((ba <> bb)::INT), 6) AS bucket_flip_rate FROM x""",
     "latency_summary": """SELECT round(quantile_cont(abs(value), 0.5), 4) AS p50_s, round(quantile_cont(abs(value), 0.95), 4) AS p95_s,
         round(count(*) * 100 / sum(abs(value)), 4) AS words_per_s FROM events""",
     "markdown": f"""{_TURNS}, {_DELTA} SELECT conv_id, turn, '| ' || conv_id || '/' || turn || ' | ' || CAST(round_even(score * 100, 0) AS INTEGER) || '% | ' || band
         || ' | ' || n_words || ' | ' || {_SIGNED} || ' | ' || CASE WHEN reliable THEN '' ELSE 'unreliable' END || ' |' AS line FROM deltas""",
-    "emoji_names": """SELECT conv_id, turn, md5(([':sparkles:', ':party_popper:', ':red_heart:', 'plain'])[turn % 4 + 1] || ' ' || text) AS text_md5 FROM conversations""",
+    "seeded_sample": "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100",
+    "bootstrap_cis": f"""WITH {_scored()}, {_drawn("sample_id, gt_bucket, model_bucket, model_score, cosine_score", 1000)},
+        simple AS (SELECT draw, sum(times * (gt_bucket = model_bucket)::INT) / sum(times)::DOUBLE AS a,
+            sum(times * (abs(gt_bucket - model_bucket) <= 1)::INT) / sum(times)::DOUBLE AS b FROM drawn GROUP BY draw),
+        {_ranked("x", "model_score")}, {_ranked("y", "cosine_score")},
+        ranks AS (SELECT d.draw, d.times AS w, rx.r AS rx, ry.r AS ry FROM drawn d JOIN x_rank rx ON rx.draw = d.draw AND rx.v = model_score
+            JOIN y_rank ry ON ry.draw = d.draw AND ry.v = cosine_score),
+        rho AS (SELECT draw, (sum(w * rx * ry) - sum(w) * (sum(w) + 1.0) * (sum(w) + 1.0) / 4) / sqrt((sum(w * rx * rx) - sum(w) * (sum(w) + 1.0) * (sum(w) + 1.0) / 4)
+            * (sum(w * ry * ry) - sum(w) * (sum(w) + 1.0) * (sum(w) + 1.0) / 4)) AS v FROM ranks GROUP BY draw),
+        {_area("one", "gt_bucket >= 1")}, {_area("three", "gt_bucket = 3")},
+        v AS (SELECT 'bucket_accuracy' AS stat, a AS v FROM simple UNION ALL SELECT 'adjacent_accuracy', b FROM simple UNION ALL SELECT 'spearman_score', v FROM rho
+            UNION ALL SELECT 'auroc_human', v FROM one UNION ALL SELECT 'auroc_top', v FROM three)
+        SELECT stat, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY stat""",
+    "bootstrap_cuts": f"""WITH {_scored()}, {_drawn("sample_id, gt_bucket, model_score", 200)}, grid AS (SELECT CAST(i AS DOUBLE) / 100 AS t FROM range(101) r(i)),
+        k(stat, least) AS (VALUES ('human', 1), ('light', 2), ('top', 3)),
+        n AS (SELECT stat, least, draw, sum(times * (gt_bucket >= least)::INT)::DOUBLE AS p, sum(times * (gt_bucket < least)::INT)::DOUBLE AS q FROM drawn, k GROUP BY ALL),
+        w AS (SELECT stat, draw, t, p, q, sum(times * (gt_bucket >= least AND model_score >= t)::INT) AS tp, sum(times * (gt_bucket < least AND model_score < t)::INT) AS tn
+              FROM n JOIN drawn USING (draw), grid WHERE p > 0 AND q > 0 GROUP BY ALL),
+        b AS (SELECT stat, draw, t, (tp / p + tn / q) / 2 AS bal, max((tp / p + tn / q) / 2) OVER (PARTITION BY stat, draw) AS top FROM w),
+        c AS (SELECT stat, draw, round(median(t), 4) AS cut FROM b WHERE bal = top GROUP BY stat, draw)
+        SELECT stat, round(quantile_cont(cut, 0.025), 6) AS low, round(quantile_cont(cut, 0.975), 6) AS high FROM c GROUP BY stat""",
+    "diff_view": f"""{_TURNS}, {_DELTA}, s AS (SELECT *, CAST(round_even(score * 12, 0) AS INTEGER) AS filled FROM deltas)
+        SELECT conv_id, turn, conv_id || '/' || turn || ': ' || repeat('•', filled) || repeat('·', 12 - filled) || ' ' || CAST(round_even(score * 100, 0) AS INTEGER)
+        || '%' || CASE WHEN delta IS NULL THEN '' ELSE ' (' || {_SIGNED} || ' points)' END || ' ' || band || CASE WHEN reliable THEN '' ELSE ', unreliable' END AS line FROM s""",
+    "emoji_names": f"""SELECT conv_id, turn, md5('a' || ([{", ".join(f"'{n}'" for _, n in MARKS)}])[(conv_id * 7 + turn) % {len(MARKS)} + 1] || ' ' || text) AS text_md5
+        FROM conversations""",
     "think_tag": f"""SELECT conv_id, turn, md5(CASE turn % 4 WHEN 0 THEN 'a ' || text WHEN 1 THEN {_strip("' ' || text")}
         ELSE {_strip("' ' || text")} END) AS text_md5 FROM conversations""",
 }

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import stats
 from ..operators.bands import DEFAULT, band_label, join_bands
-from ..operators.detect import chunk_array, chunk_rows, detect, gate, scored_windows, weighted_probs, wire
+from ..operators.detect import chunk_array, chunk_rows, detect, detect_both, gate, scored_windows, weighted_probs
 from ..operators.prose import delta_from_first, label, resolve_prose
 from ..operators.windows import explode_windows, regroup, window_array
 from ..scorers import LengthStub, LogitsScorer, add_scores
-from ..sinks.report import diff_rows, heatmap, json_lines, markdown_rows
-from .evaluate import _resampled, propose_bands
+from ..sinks.report import diff_rows, heatmap, markdown_rows
+from ..workspace import Workspace
+from .evaluate import propose_bands
 from .score import score_targets
 
 #: Scales of the stub: the usual one, and one that reaches the upper bands.
@@ -81,7 +82,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_scores(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_rows(scored_windows(_docs(spark, d), LengthStub(STEEP)).drop("text"), "doc_id").select(
+    return chunk_rows(scored_windows(_docs(spark, d), LengthStub(STEEP, varied=True)).drop("text"), "doc_id").select(
         "doc_id", "index", "score", "bucket", "band", "n_words", "word_start", "word_end", "confidence", "truncated", F.substring("preview", 1, 60).alias("preview")
     )
 
@@ -91,8 +92,8 @@ def chunk_heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detect_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _detected(spark, d).select(
-        "doc_id", F.round("score", 3).alias("score"), "band", "bucket", "n_words", "n_chunks", "reliable", "confidence", "truncated", "most_ai_chunk"
+    return detect(_docs(spark, d), LengthStub(SCALE, varied=True)).select(
+        "doc_id", "score", "band", "bucket", "n_words", "n_chunks", "reliable", "confidence", "truncated", "most_ai_chunk"
     )
 
 
@@ -101,7 +102,7 @@ def most_ai_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _logits(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("logits"))
+    return _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
 
 
 def decode_logits(spark: SparkSession, d: str) -> DataFrame:
@@ -116,14 +117,14 @@ def decode_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 def logits_scorer(spark: SparkSession, d: str) -> DataFrame:
     """The same decoding as a scorer of windows that carry their logits; a window of over 100 vectors' ids counts as cut."""
-    scorer = LogitsScorer(lambda w: w["logits"], max_length=100, raw_length=lambda w: w["vec_id"])
+    scorer = LogitsScorer(lambda w: w["logits"], name="vectors", max_length=100, raw_length=lambda w: w["vec_id"])
     rows = _logits(spark, d).select("vec_id", F.array(F.struct("vec_id", "logits")).alias("windows"))
     found = add_scores(rows, scorer, "windows", "scores").select("vec_id", F.inline("scores"))
     return _round(found.select("vec_id", "score", "bucket", "confidence", "truncated"), "score", "confidence")
 
 
 def document_probs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _detected(spark, d, scale=STEEP).select("doc_id", weighted_probs("chunks").alias("p"))
+    rows = detect(_docs(spark, d), LengthStub(STEEP, varied=True)).select("doc_id", weighted_probs("chunks").alias("p"))
     return _round(rows.select("doc_id", *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(4)]), *[f"p{k}" for k in range(4)])
 
 
@@ -148,11 +149,11 @@ DESCRIBED = ("min", "q25", "median", "mean", "q75", "q90", "max")
 
 
 def describe_overall(spark: SparkSession, d: str) -> DataFrame:
-    return _round(stats.describe(_detected(spark, d), "score"), *DESCRIBED)
+    return _round(stats.describe(_detected(spark, d), "score"), *DESCRIBED, places=9)
 
 
 def describe_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return _round(stats.describe(_detected(spark, d, "source"), "score", "source"), *DESCRIBED)
+    return _round(stats.describe(_detected(spark, d, "source"), "score", "source"), *DESCRIBED, places=9)
 
 
 def fp_table(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +201,7 @@ def scored_targets(spark: SparkSession, d: str) -> DataFrame:
     refs = resolve_prose(_references(spark, d))
     targets = refs.select("ordinal", F.col("source").alias("ref"), "source", label().alias("label"), "text", F.col("skip_reason").alias("reason"))
     out = score_targets(targets, LengthStub(STEEP))
-    return out.select("ordinal", "label", F.round("score", 3).alias("score"), "band", "n_words", "skipped", "reason")
+    return out.select("ordinal", "label", "score", "band", "n_words", "skipped", "reason")
 
 
 def rankdata(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +223,7 @@ def balacc_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proposed_bands(spark: SparkSession, d: str) -> DataFrame:
-    found = propose_bands(_scored(spark, d).persist(), n_boot=0)
+    found = propose_bands(_scored(spark, d), n_boot=0)
     rows = [(k, b["cut"], b["band_below"], b["pinned"], found["degenerate"]) for k, b in enumerate(found["boundaries"])]
     return spark.createDataFrame(rows, "position int, cut double, band_below string, pinned boolean, degenerate boolean")
 
@@ -238,7 +239,7 @@ def bucket_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def per_gt_describe(spark: SparkSession, d: str) -> DataFrame:
-    return _round(stats.describe(_scored(spark, d), "model_score", "gt_bucket"), *DESCRIBED)
+    return _round(stats.describe(_scored(spark, d), "model_score", "gt_bucket"), *DESCRIBED, places=9)
 
 
 def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
@@ -254,20 +255,10 @@ def worst_disagreements(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sample_id", "gt_bucket", "model_bucket", "model_score")
 
 
-def source_control(spark: SparkSession, d: str) -> DataFrame:
-    own = _detected(spark, d)
-    frac = F.avg((F.col("bucket") == 0).cast("double")).alias("frac_bucket0")
-    return _round(own.agg(frac, *stats.describe_columns("score")), "frac_bucket0", *DESCRIBED)
-
-
-def _run(spark: SparkSession, d: str, scale: int) -> DataFrame:
-    found = _detected(spark, d, scale=scale)
-    return found.select("doc_id", F.col("score").alias("model_score"), F.col("bucket").alias("model_bucket"), "reliable")
-
-
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
-    found = stats.compare_scores(_run(spark, d, SCALE), _run(spark, d, STEEP), "doc_id")
-    return _round(found, "score_mae", "max_delta", "bucket_flip_rate", places=4)  # SQL rounds some ties of single scores otherwise
+    both = detect_both(_docs(spark, d), LengthStub(SCALE), LengthStub(STEEP))
+    pairs = both.select(*[F.col(x)[c].alias(k + x) for x in "ab" for k, c in (("s", "score"), ("b", "bucket"), ("r", "reliable"))])
+    return _round(stats.compare_columns(pairs), "score_mae", "max_delta", "bucket_flip_rate")
 
 
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -280,12 +271,12 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_cis(spark: SparkSession, d: str) -> DataFrame:
-    columns = ("gt_bucket", "model_bucket", "model_score", "cosine_score")
-    return stats.bootstrap_cis(_scored(spark, d), columns, _resampled, order="sample_id", n_boot=200)
+    return _round(stats.bootstrap_cis(_scored(spark, d)), "low", "high")
 
 
-def wire_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    return json_lines(wire(_detected(spark, d)))
+def bootstrap_cuts(spark: SparkSession, d: str) -> DataFrame:
+    scored = Workspace(spark).save(_scored(spark, d).select("sample_id", "gt_bucket", "model_score"), "scored")
+    return _round(stats.bootstrap_cuts(scored, {"human": 1, "light": 2, "top": 3}), "low", "high")
 
 
 def markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -300,11 +291,20 @@ def diff_view(spark: SparkSession, d: str) -> DataFrame:
     return diff_rows(results, "conv_id", order="turn").select("conv_id", "turn", "line")
 
 
+#: Emoji and sequences with the names that they should get.
+MARKS = (
+    ("✨", ":sparkles:"), ("🎉", ":party_popper:"), ("❤️", ":red_heart:"), ("plain", "plain"), ("👍🏽", ":thumbs_up_medium_skin_tone:"),
+    ("👨‍👩‍👧", ":family_man_woman_girl:"), ("🇩🇪", ":flag_DE:"), ("5️⃣", ":keycap_5:"), ("👩🏿‍🚀", ":woman_astronaut_dark_skin_tone:"),
+    ("🏃‍♀️", ":woman_running:"), ("😃", ":grinning_face_with_big_eyes:"), ("©", ":copyright:"), ("🏳️‍🌈", ":rainbow_flag:"), ("5", "5"),
+)
+
+
 def emoji_names(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations with emoji put in by turn, so that the name rule has something to act on."""
-    marks = F.element_at(F.array(F.lit("✨"), F.lit("🎉"), F.lit("❤️"), F.lit("plain")), (F.col("turn") % 4 + 1).cast("int"))
+    """Conversations with emoji put in by number, so that the name rules have something to act on."""
+    k = ((F.col("conv_id") * 7 + F.col("turn")) % len(MARKS) + 1).cast("int")
+    mark = F.element_at(F.array(*[F.lit(m) for m, _ in MARKS]), k)
     rows = _t(spark, d, "conversations", "conv_id", "turn", "text")
-    return rows.select("conv_id", "turn", F.md5(text.normalize_emoji(F.concat(marks, F.lit(" "), F.col("text")))).alias("text_md5"))
+    return rows.select("conv_id", "turn", F.md5(text.normalize_emoji(F.concat(F.lit("a"), mark, F.lit(" "), F.col("text")))).alias("text_md5"))
 
 
 def think_tag(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +321,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         most_ai_chunk, decode_logits, decode_confidence, logits_scorer, document_probs, band_lookup, band_range_join,
         score_to_bucket, describe_overall, describe_by_source, fp_table, gate_over, diff_vs_first, prose_resolution,
         generic_strip, scored_targets, rankdata, spearman, auroc, balacc_sweep, proposed_bands, confusion, bucket_metrics,
-        per_gt_describe, calibration_bins, ece, worst_disagreements, source_control, compare_runs, latency_summary,
-        seeded_sample, bootstrap_cis, wire_jsonl, markdown, diff_view, emoji_names, think_tag,
+        per_gt_describe, calibration_bins, ece, worst_disagreements, compare_runs, latency_summary,
+        seeded_sample, bootstrap_cis, bootstrap_cuts, markdown, diff_view, emoji_names, think_tag,
     )
 }

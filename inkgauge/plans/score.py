@@ -1,4 +1,4 @@
-"""Score targets: skipped ones stay with nulls, the others get a detection, in the order of the input."""
+"""Score targets: skipped ones stay with nulls, the others get a detection; ``ordinal`` keeps the order of the input."""
 
 from __future__ import annotations
 
@@ -18,12 +18,13 @@ def score_targets(targets: DataFrame, scorer: Any, *, bands: Sequence[Band] = DE
     """Results with RESULT_COLUMNS for rows as the sources make them (sources.documents.TARGET).
 
     Skipped rows are set apart before the scorer, which only ever sees texts, and joined by a union, without a shuffle.
+    Rows are not sorted here: a sort samples its input first, and so runs the model twice. Sinks order what they show.
     """
     pending = targets.filter(F.col("reason").isNull())
     found = wire(detect(pending.drop("reason"), scorer, bands=bands))
     found = found.withColumn("skipped", F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
     skipped = targets.filter(F.col("reason").isNotNull()).withColumn("skipped", F.lit(True)).drop("text")
-    return found.unionByName(skipped, allowMissingColumns=True).select(*RESULT_COLUMNS).orderBy("ordinal")
+    return found.unionByName(skipped, allowMissingColumns=True).select(*RESULT_COLUMNS)
 
 
 def score_documents(docs: DataFrame, scorer: Any, *, bands: Sequence[Band] = DEFAULT, text_col: str = "text") -> DataFrame:

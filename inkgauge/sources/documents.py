@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from pathlib import Path
-from typing import Any
+from typing import Any, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions.numeric import score_to_bucket
 from ..functions.text import PREVIEW_SAMPLE, clean_text, preview, words
 from ..operators.prose import label, resolve_prose
 from ..operators.stats import seeded_sample
+from . import references
 
 #: One row per document to score or skip.
 TARGET = "ordinal long, ref string, source string, label string, text string, reason string"
@@ -39,31 +41,37 @@ def from_text(spark: SparkSession, content: str, *, name: str = "(text)") -> Dat
     return spark.createDataFrame([(0, None, None, name, content, None)], TARGET)
 
 
-def from_stdin(spark: SparkSession) -> DataFrame:
-    return from_text(spark, sys.stdin.read(), name="(stdin)")
+def from_stdin(spark: SparkSession, stream: TextIO | None = None) -> DataFrame:
+    return from_text(spark, (stream or sys.stdin).read(), name="(stdin)")
 
 
 def from_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One document per file or glob match; bytes that are no UTF-8 become replacement characters.
 
-    Executors read the files; in the order of their paths.
+    Executors read the files. Ordinals follow the paths: only these are sorted, and texts are joined to them.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    numbered = files.orderBy("path").select("path", "text").withColumn("ordinal", F.monotonically_increasing_id())
+    numbers = files.select("path").orderBy("path").withColumn("ordinal", F.monotonically_increasing_id())
+    numbered = files.join(numbers, "path")
     return numbered.select("ordinal", F.col("path").alias("ref"), F.col("path").alias("source"), F.col("path").alias("label"), "text", F.lit(None).cast("string").alias("reason"))
 
 
-def resolve_references(spark: SparkSession, targets: Sequence[str], *, first: int = 0) -> DataFrame:
-    """Resolved documents (REFERENCE); ordinals keep the order of targets and of the documents of each."""
+#: Documents that one target may resolve to: a target's ordinals start at its number times this.
+PER_TARGET = 1 << 32
+
+
+def resolve_references(spark: SparkSession, targets: Sequence[tuple[int, str]]) -> DataFrame:
+    """Resolved documents (REFERENCE) of numbered targets, resolved on the executors side by side.
+
+    Ordinals keep the order of the numbers and of the documents of each.
+    """
     if _resolver is None:
-        raise ResolverMissingError(f"{targets[0]!r} is no file, and no resolver is registered")
-    rows = []
-    for target in targets:
-        for doc in _resolver(target):
-            prose_authors = list(doc.get("prose_authors") or [])
-            metadata = {k: str(v) for k, v in (doc.get("metadata") or {}).items() if v}
-            rows.append((first + len(rows), doc.get("source"), doc.get("label"), doc.get("content"), doc.get("prose"), prose_authors, metadata))
-    return spark.createDataFrame(rows, REFERENCE)
+        raise ResolverMissingError(f"{targets[0][1]!r} is no file, and no resolver is registered")
+    references.register(spark, _resolver)
+    found = spark.read.format("references").option("targets", json.dumps([t for _, t in targets])).load()
+    numbers = F.array(*[F.lit(n) for n, _ in targets])
+    ordinal = F.get(numbers, F.col("target")).cast("bigint") * PER_TARGET + F.col("doc")
+    return found.select(ordinal.alias("ordinal"), "source", "label", "content", "prose", "prose_authors", "metadata")
 
 
 def from_references(refs: DataFrame, *, split: bool = False) -> DataFrame:
@@ -72,24 +80,18 @@ def from_references(refs: DataFrame, *, split: bool = False) -> DataFrame:
     return out.select("ordinal", F.col("source").alias("ref"), "source", label().alias("label"), "text", F.col("skip_reason").alias("reason"))
 
 
-def from_targets(spark: SparkSession, targets: Sequence[str], *, split: bool = False) -> DataFrame:
+def from_targets(spark: SparkSession, targets: Sequence[str], *, split: bool = False, stream: TextIO | None = None) -> DataFrame:
     """A mixed list: ``-`` is standard input, an existing file is read, anything else is a reference. Order is kept."""
-    rows, parts, ordinal = [], [], 0
-    for target in targets:
+    rows, others = [], []
+    for k, target in enumerate(targets):
         if target == "-":
-            rows.append((ordinal, None, None, "(stdin)", sys.stdin.read(), None))
-            ordinal += 1
+            rows.append((k * PER_TARGET, None, None, "(stdin)", (stream or sys.stdin).read(), None))
         elif len(target) < MAX_PATH and Path(target).is_file():
-            rows.append((ordinal, target, target, target, Path(target).read_text(errors="replace"), None))
-            ordinal += 1
+            rows.append((k * PER_TARGET, target, target, target, Path(target).read_text(errors="replace"), None))
         else:
-            refs = resolve_references(spark, [target], first=ordinal)
-            parts.append(from_references(refs, split=split))
-            ordinal += refs.count()
+            others.append((k, target))
     out = spark.createDataFrame(rows, TARGET)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    return out.unionByName(from_references(resolve_references(spark, others), split=split)) if others else out
 
 
 def labeled_samples(df: DataFrame, n: int, *, key: str, seed: int = 0) -> DataFrame:

@@ -30,7 +30,7 @@ def register(spark: SparkSession, resolve: Callable[[str], list[dict]]) -> None:
             return [_Target(k, t) for k, t in enumerate(self.targets)]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            for k, doc in enumerate(resolve(partition.target)):
+            for k, doc in enumerate(resolve(partition.target) or []):
                 metadata = {a: str(b) for a, b in (doc.get("metadata") or {}).items() if b}
                 yield partition.number, k, doc.get("source"), doc.get("label"), doc.get("content"), doc.get("prose"), list(doc.get("prose_authors") or []), metadata
 

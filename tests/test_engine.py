@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from inkgauge.functions import numeric, text
 from inkgauge.operators import bands, detect, prose, stats, windows
 from inkgauge.plans import evaluate
-from inkgauge.plans.oracles import ORACLE_SQL
-from inkgauge.plans.queries import QUERIES
+from inkgauge.plans import oracles, queries, report_oracles, report_queries
 from inkgauge.plans.score import score_targets
-from inkgauge.scorers import BatchScorer, LengthStub, ScorerUnavailableError, decode_numpy, run_with_backoff, transformer_scorer
+from inkgauge.scorers import BatchScorer, LengthStub, ScorerUnavailableError, chosen_scorer, decode_numpy, run_with_backoff, transformer_scorer
 from inkgauge.sinks import report, tables
 from inkgauge.sources import documents, references
 
 
+QUERIES = queries.QUERIES | report_queries.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | report_oracles.ORACLE_SQL
+
+
 def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column.alias("y")).first()["y"]
 
@@ -38,7 +41,7 @@ def same(a, b):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query_equals_sql(spark, data, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "embeddings", "conversations", "events", "lineitem"):
+    for table in ("documents", "labels", "embeddings", "conversations", "events", "lineitem", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     found = QUERIES[name](spark, data)
     cursor = con.execute(ORACLE_SQL[name])
@@ -241,7 +244,9 @@ def test_batch_scorer_equals_expression(spark):
 
     scorer = BatchScorer(load, key="test", name="stub", width=3)
     df = spark.createDataFrame([(k, " ".join(["word"] * n)) for k, n in enumerate((0, 3, 60, 400, 800))], "doc_id int, text string").repartition(2)
-    a = detect.detect(df, scorer).orderBy("doc_id").collect()
+    timed = detect.detect(df, scorer, with_latency=True).orderBy("doc_id")
+    assert [r.latency_s > 0 for r in timed.collect()] == [False, True, True, True, True]
+    a = timed.drop("latency_s").select(*detect.detect(df, scorer).columns).collect()
     assert a == detect.detect(df, LengthStub(1000)).orderBy("doc_id").collect()
 
 
@@ -289,7 +294,7 @@ def test_targets_keep_order(spark, tmp_path):
     path.write_bytes(b"caf\xe9 " + b"word " * 60)
     documents.register_resolver(REFS.get)
     try:
-        found = score_targets(documents.from_targets(spark, ["two", str(path), "none", "bad", "ok"]), LengthStub()).collect()
+        found = score_targets(documents.from_targets(spark, ["two", str(path), "none", "bad", "ok"]), LengthStub()).orderBy("ordinal").collect()
         split = score_targets(documents.from_targets(spark, ["two"], split=True), LengthStub()).collect()
     finally:
         documents.register_resolver(None)
@@ -425,14 +430,49 @@ def test_compare_scores(spark):
     assert r["n"] == 2 and math.isclose(r["score_mae"], 0.125) and math.isclose(r["max_delta"], 0.2) and r["bucket_flip_rate"] == 0.5
 
 
-def test_bootstrap_is_seeded(spark):
-    df = frame(spark, k=range(30), x=np.arange(30.0))
-    mean = lambda rows: {"m": float(rows["x"].mean()), "none": float("nan")}
-    found = stats.bootstrap_cis(df, ["x"], mean, order="k", n_boot=100, seed=3).collect()
-    rng = np.random.default_rng(3)
-    draws = [np.arange(30.0)[rng.integers(0, 30, 30)].mean() for _ in range(100)]
-    ((name, low, high),) = found
-    assert name == "m" and np.allclose([low, high], np.percentile(draws, [2.5, 97.5]))
+def test_bootstrap_equals_plain_resampling(spark):
+    """Intervals over the same draws, taken by plain loops."""
+    import hashlib
+
+    rng, n, draws = np.random.default_rng(8), 60, 40
+    gt, score = rng.integers(0, 4, n), rng.random(n).round(2)
+    cosine, bucket = rng.random(n).round(1), np.clip((score * 4).astype(int), 0, 3)
+    df = spark.createDataFrame(list(zip(range(n), gt.tolist(), bucket.tolist(), score.tolist(), cosine.tolist())), "sample_id long, gt_bucket int, model_bucket int, model_score double, cosine_score double")
+    found = {r.stat: (r.low, r.high) for r in stats.bootstrap_cis(df.repartition(3), n_boot=draws, seed=5).collect()}
+    assert found == {r.stat: (r.low, r.high) for r in stats.bootstrap_cis(df, n_boot=draws, seed=5).collect()}
+    values = {k: [] for k in found}
+    for draw in range(draws):
+        chance = [int(hashlib.md5(f"5:{draw}:{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(n)]
+        at = np.repeat(np.arange(n), [sum(p <= u for p in stats.POISSON) for u in chance])
+        g, s, b = gt[at], score[at], bucket[at]
+        area = lambda p: (pd.Series(s).rank()[p].sum() - p.sum() * (p.sum() + 1) / 2) / (p.sum() * (~p).sum())  # noqa: B023, E731
+        values["bucket_accuracy"].append((g == b).mean())
+        values["adjacent_accuracy"].append((abs(g - b) <= 1).mean())
+        values["spearman_score"].append(np.corrcoef(pd.Series(s).rank(), pd.Series(cosine[at]).rank())[0, 1])
+        values["auroc_human"].append(area(g >= 1))
+        values["auroc_top"].append(area(g == 3))
+    for stat, ends in found.items():
+        assert np.allclose(ends, np.percentile(values[stat], [2.5, 97.5]), atol=1e-9), stat
+    cuts = {r.stat: (r.low, r.high) for r in stats.bootstrap_cuts(df, {"human": 1, "top": 3}, n_boot=10, seed=5).collect()}
+    assert set(cuts) == {"human", "top"} and all(0 <= low <= high <= 1 for low, high in cuts.values())
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    for values in (rng.random(1000), rng.integers(0, 5, 777) / 4.0, np.array([3.5])):
+        shares = [0, 0.05, 0.5, 0.95, 1]
+        assert np.allclose(stats.percentiles(frame(spark, x=values), "x", shares), np.percentile(values, [100 * p for p in shares]))
+    assert stats.percentiles(frame(spark, x=[1.0]).filter("x > 2"), "x", [0.5]) == [None]
+
+
+def test_hot_keys_are_split(spark):
+    """A third of all rows with one key: the join's tasks stay small, and no row is lost."""
+    from inkgauge.operators.skew import split_join
+
+    rows = spark.range(30000).selectExpr("if(id % 3 = 0, 0, id) AS a", "id AS b")
+    table = spark.range(30000).selectExpr("id AS a", "concat('w', id) AS w")
+    found = split_join(rows, table, "a", "b", 30000)
+    assert found.count() == 30000 and found.filter("w <> concat('w', a)").count() == 0
 
 
 # --- evaluation and views ----------------------------------------------------------------------------------------------
@@ -443,8 +483,8 @@ def test_eval_dataset_and_views(spark, data, tmp_path):
     samples = documents.labeled_samples(df, 60, key="doc_id").persist()
     found = evaluate.eval_dataset(samples, LengthStub(2500), against=LengthStub(5000, name="other"), with_source=True, n_boot=20)
     assert found["n_used"] <= found["n_total"] == 60 and found["compare"]["n"] == found["n_used"] and found["latency"]["words_per_s"] > 0
-    shown = report.dataset_view(found)
-    assert "bucket accuracy" in shown and "stub vs other" in shown and "source_text control" in shown
+    shown = report.report_view(found)
+    assert "bucket_accuracy" in shown and "label_b" in shown and "source_control.frac_bucket0" in shown and " to " in shown
     assert json.loads(report.to_json(found))["mode"] == "dataset"
     assert report.benchmark_view(found, "cmd").count("\n") == 4
     if not found["bands"]["degenerate"]:
@@ -457,12 +497,12 @@ def test_gradient_and_references(spark, tmp_path):
     for k, n in enumerate(names):
         (tmp_path / n).write_text("word " * (60 + 60 * k))
     probe = evaluate.gradient_probe(documents.gradient_samples(spark, str(tmp_path), names), LengthStub(1000))
-    assert probe["passed"] and math.isclose(probe["spearman_order"], 1) and "PASS" in report.gradient_view(probe)
+    assert probe["passed"] and math.isclose(probe["spearman_order"], 1) and "passed: yes" in report.report_view(probe)
     with pytest.raises(FileNotFoundError):
         documents.gradient_samples(spark, str(tmp_path), ["missing"])
     results = score_targets(documents.from_targets(spark, [str(tmp_path / n) for n in names]), LengthStub(1000))
     found = evaluate.eval_references(results)
-    assert found["n_scored"] == 3 and len(found["by_source"]) == 3 and "by source" in report.references_view(found)
+    assert found["n_scored"] == 3 and len(found["by_source"]) == 3 and "by_source:" in report.report_view(found)
 
 
 ENTRY = {
@@ -476,18 +516,54 @@ ENTRY = {
 SKIPPED = {k: None for k in ENTRY} | {"label": "gone", "skipped": True, "reason": "no prose"}
 
 
-def test_views():
-    single = report.single_view(ENTRY)
-    assert "62% AI" in single and "peak #1 90%" in single and "overflow was not scored" in single and report.ROUGH in single
-    assert "(no prose)" in report.single_view(SKIPPED) and report.chunk_view(SKIPPED) == ""
-    lines = report.list_view([ENTRY, SKIPPED, ENTRY | {"reliable": False}]).split("\n")
-    assert lines[0].startswith("~") and "skip" in lines[1] and "⚠" in lines[2] and len(lines) == 4
-    assert "⚠trunc" in report.chunk_view(ENTRY) and "x" * 61 not in report.chunk_view(ENTRY)
-    diff = report.diff_view([ENTRY, SKIPPED, ENTRY | {"score": 0.82}])
-    assert "Δ+20" in diff and diff.count("Δ") == 1
-    table = report.markdown_view([ENTRY, SKIPPED, ENTRY | {"score": 0.6}], deltas=True).split("\n")
+CHUNKS = "array<struct<index:int,score:double,band:string,n_words:int,word_start:int,word_end:int,confidence:double,truncated:boolean,preview:string>>"
+SHOWN = "ordinal long, label string, score double, band string, bucket int, n_words int, n_chunks int, reliable boolean, confidence double, truncated boolean, model string, calibrated boolean, most_ai_chunk int, skipped boolean, reason string, preview string"
+
+
+def entries(spark, *rows):
+    return spark.createDataFrame([{"ordinal": k} | r for k, r in enumerate(rows)], f"{SHOWN}, chunks {CHUNKS}")
+
+
+def test_views(spark):
+    card = report.view(entries(spark, ENTRY), "card")
+    assert "62%" in card and "number 1 at 90%" in card and all(report.NOTES[x] in card for x in ("truncated", "uncalibrated"))
+    gone = entries(spark, SKIPPED)
+    assert "no prose" in report.view(gone, "card") and report.view(gone, "chunks") == ""
+    lines = report.view(entries(spark, ENTRY, SKIPPED, ENTRY | {"reliable": False}), "list").split("\n")
+    assert "uncalibrated" in lines[0] and "no prose" in lines[1] and "unreliable" in lines[2] and len(lines) == 3
+    chunks = report.view(entries(spark, ENTRY), "chunks")
+    assert "truncated" in chunks and "x" * 60 in chunks and "x" * 61 not in chunks
+    diff = report.view(entries(spark, ENTRY, SKIPPED, ENTRY | {"score": 0.82}), "diff")
+    assert "(+20 points)" in diff and diff.count("points") == 1
+    table = report.view(entries(spark, ENTRY, SKIPPED, ENTRY | {"score": 0.6}), "md", deltas=True).split("\n")
     assert table[2].endswith("|  | truncated |") and table[3] == "| gone | — | — | — | — | skipped: no prose |" and "| -2 |" in table[4]
-    assert "preview" not in json.loads(report.wire_json(ENTRY)) and json.loads(report.wire_json(ENTRY))["chunks"][1]["preview"] == "y"
+    wire = json.loads(report.view(entries(spark, ENTRY), "jsonl"))
+    assert "preview" not in wire and wire["chunks"][1]["preview"] == "y"
+
+
+def test_model_runs_once_over_targets(spark):
+    """A counting model sees each window once: results are not sorted behind it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def forward(texts):
+            seen.add(len(texts))
+            return [{"score": 0.5, "bucket": 1, "probs": [0.5, 0.5, 0.0, 0.0], "confidence": 0.5, "truncated": False} for _ in texts]
+
+        return forward
+
+    targets = spark.range(400).selectExpr("id AS ordinal", "'r' AS ref", "'s' AS source", "'l' AS label", "repeat('word ', 60) AS text", "CAST(NULL AS string) AS reason")
+    score_targets(targets, BatchScorer(load, key=str(id(seen)), name="counting")).write.format("noop").mode("overwrite").save()
+    assert seen.value == 400
+
+
+def test_only_one_kind_is_calibrated(tmp_path):
+    for kind in ("llama", "roberta"):
+        (tmp_path / kind).mkdir()
+    made = {m: chosen_scorer(m, checkpoints=str(tmp_path)) for m in ("auto", "llama", "roberta", "stub")}
+    assert {m: s.calibrated for m, s in made.items()} == {"auto": False, "llama": True, "roberta": False, "stub": True}
+    with pytest.raises(FileNotFoundError, match="checkpoint"):
+        chosen_scorer("auto", checkpoints=str(tmp_path / "none"))
 
 
 def test_jsonl_writes_nulls(spark, tmp_path):
@@ -522,18 +598,21 @@ def test_cli(spark, tmp_path, capsys, data, monkeypatch):
     monkeypatch.setattr(cli.sys.stdin, "isatty", lambda: True, raising=False)
     path = tmp_path / "a.txt"
     path.write_text("word " * 700)
-    assert cli.main([str(path), "--chunks"]) == 0 and "% AI" in capsys.readouterr().out
-    assert cli.main(["score", str(path), "--fail-over", "0.1", "--json"]) == 3
+    stub = ["-m", "stub"]
+    assert cli.main([str(path), "--chunks", *stub]) == 0 and "words 350-700" in capsys.readouterr().out
+    assert cli.main(["score", str(path), "--fail-over", "0.1", "--json", *stub]) == 3
     out = capsys.readouterr()
-    assert json.loads(out.out)[0]["n_words"] == 700 and "1/1 over 0.1" in out.err
-    assert cli.main(["--text", "short", "--fail-over", "0.1", "-q"]) == 4
-    assert cli.main(["diff", str(path), str(path), "-f", "md"]) == 0 and "| +0 |" in capsys.readouterr().out
+    assert json.loads(out.out)[0]["n_words"] == 700 and "1 of 1 above" in out.err
+    assert cli.main(["--text", "short", "--fail-over", "0.1", "-q", *stub]) == 4
+    assert cli.main(["diff", str(path), str(path), "-f", "md", *stub]) == 0 and "| +0 |" in capsys.readouterr().out
     assert cli.main(["diff", str(path)]) == 2 and cli.main(["score"]) == 2
-    assert cli.main(["score", "http://nowhere"]) == 1
-    assert cli.main(["eval"]) == 1
+    assert cli.main(["score", "http://nowhere", *stub]) == 1
+    monkeypatch.delenv("INKGAUGE_CHECKPOINTS", raising=False)
+    assert cli.main([str(path)]) == 1 and "--checkpoints" in capsys.readouterr().err
+    assert cli.main(["eval", *stub]) == 1
     assert cli.with_default_command(["eval"]) == ["eval"] and cli.with_default_command([]) == ["score"]
     with pytest.raises(SystemExit):
-        cli.main(["score", "x", "--json", "--jsonl"])
+        cli.main(["score", "--text", "x", "-m", "stub", "--json", "--jsonl"])
 
 
 def test_library_stands_without_llm():
