@@ -1,19 +1,16 @@
-"""What the operators share: tables in the shared folder, row keys, joins that survive hot keys."""
+"""What the operators share: text as they read it, tables of Python workers, and the engine's tables and joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space runs other than one plain space.
-_ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+from ..operators.skew import HOT_SHARE, lookup, split_join
+from ..workspace import Workspace, shared_dir
 
-#: A key with over 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys, however large the input.
-HOT_SHARE = 2_000
+__all__ = ["HOT_SHARE", "Workspace", "lookup", "shared_dir", "split_join", "squeeze", "text_or_empty", "worker_table"]
 
+#: ASCII white space runs other than one plain space.
+_ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 _table: dict = {}
 
@@ -37,55 +34,3 @@ def text_or_empty(col):
 def squeeze(col):
     """Replace each run of ASCII white space by one space; a lone space needs no rewriting."""
     return F.regexp_replace(text_or_empty(col), _ODD_SPACE, " ")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: ``spark.checkpoint.dir``.
-
-    Where it is unset in local mode (tests), a temporary folder is set; elsewhere that is an error.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkgauge-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-class Workspace:
-    """Tables written once and read often, in the shared folder: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/inkgauge/{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later plan reads."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """Inner-join ``rows`` with ``table`` (one row per key; ``weight`` = rows of that key), whatever the skew.
-
-    Keys with more than ``total / HOT_SHARE`` rows number fewer than HOT_SHARE: only those are broadcast.  The others
-    meet by an ordinary shuffle, where no key is large.
-    """
-    hot = F.col(weight) * HOT_SHARE > F.lit(total)
-    few = F.broadcast(table.filter(hot).select(*keys, F.lit(True).alias("__hot")))
-    marked = rows.join(few, keys, "left")
-    held = marked.filter(F.col("__hot")).drop("__hot").join(F.broadcast(table.filter(hot)), keys)
-    rest = marked.filter(F.col("__hot").isNull()).drop("__hot").join(table.filter(~hot), keys)
-    return held.unionByName(rest)
