@@ -6,11 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import HOT_SHARE, Workspace
+
 #: Lanes modulo 2^64 for equality, and per level of resolution lanes modulo 2^16 for likeness.  The finest level takes one
 #: paragraph of 2^27: two texts of 2 GB, the most a row can hold, have fewer than 2^31 and don't crowd it.
 WIDE, LEVELS, LANES = 8, 28, 16
@@ -84,116 +87,141 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same, 1.0, np.clip(1 - np.maximum(alone, 1.0) / every, 0.0, 1.0))
 
 
-def _pack(ids: list[int], texts: list[str | None]) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+_NO_ID = -(2**63)  # stands for a null id: below all others
+_RESULT = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
+
+
+def _compared(ids: list[int | None], texts: list[str], nexts: list[str]) -> Iterator[pa.RecordBatch]:
+    """Results of texts and the texts that follow each, some at a time."""
+    for k in range(0, len(texts), 1000):
+        some, after = texts[k : k + 1000], nexts[k : k + 1000]
+        edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(some, after)]
+        mine, last, changed = fingerprints(some), fingerprints(after[-1:]), fingerprints(edited)
+        # a text's successor is mostly the row after it
+        following = np.concatenate([mine[1:], last])
+        odd = [i for i in range(len(some) - 1) if after[i] is not some[i + 1]]
+        if odd:
+            following[odd] = fingerprints([after[i] for i in odd])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids[k : k + 1000], pa.int64()),
+                pa.array([len(t) for t in some], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+                pa.array([x.tobytes().hex() for x in mine], pa.string()),
+                pa.array([x.tobytes().hex() for x in changed], pa.string()),
+                pa.array(likeness(mine, changed), pa.float64()),
+                pa.array(likeness(mine, following), pa.float64()),
+            ],
+            _NAMES,
+        )
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range, sorted: each row meets the next one; the last meets the edge row behind it, which gives no result."""
+    held: tuple[int | None, str] | None = None  # one row waits for the next batch
+    for batch in batches:
+        rows = list(zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["edge"].to_pylist()))
+        own = [(d, t) for d, t, edge in rows if not edge]
+        edges = [t for _, t, edge in rows if edge]
+        own = [held, *own] if held else own
+        held = None
+        if not own:
+            continue
+        texts = [t for _, t in own]
+        nexts = texts[1:] + edges[:1]
+        if not edges:
+            held = own[-1]
+        n = len(nexts)
+        if n:
+            yield from _compared([d for d, _ in own[:n]], texts[:n], nexts)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Largest key of a range of keys, in the order of (id, hash)."""
+    top = None
+    for batch in batches:
+        if batch.num_rows:
+            best = max(zip(batch["key"].to_pylist(), batch["h"].to_pylist()))
+            top = best if top is None else max(top, best)
+    if top is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in top], ["key", "h"])
+
+
+def _range_udf(tops: list[tuple[int, int]]):
+    """(range, range above that needs the row as its edge or -1) of a row by its key; a range ends at its largest key.
+
+    ``tops`` are one key per range: their number is that of the shuffle partitions, whatever the number of rows.
+    """
+    keys, hashes = np.array([k for k, _ in tops], np.int64), np.array([h for _, h in tops], np.int64)
 
+    @F.pandas_udf("struct<rng:int,above:int>")
+    def place(key: pd.Series, h: pd.Series) -> pd.DataFrame:
+        some, tie = key.to_numpy(), h.to_numpy()
+        left, right = np.searchsorted(keys, some, "left"), np.searchsorted(keys, some, "right")
+        at = left.copy()
+        for i in np.flatnonzero(left < right):  # the id itself ends ranges: its rows go on by their hashes
+            at[i] = left[i] + np.searchsorted(hashes[left[i] : right[i]], tie[i], "left")
+        at = np.minimum(at, max(len(keys) - 1, 0))
+        top = (keys[at] == some) & (hashes[at] == tie) if len(keys) else np.zeros(len(some), bool)
+        return pd.DataFrame({"rng": at.astype(np.int32), "above": np.where(top, (at + 1) % max(len(keys), 1), -1).astype(np.int32)})
 
-def _unpack(blob: bytes) -> Iterator[tuple[int, str]]:
-    for batch in pa.ipc.open_stream(blob):
-        yield from zip(batch["id"].to_pylist(), batch["text"].to_pylist())
+    return place
 
 
-_NO_ID = -(2**63)  # stands for a null id: below all others
+def _repeats(hot: DataFrame, schema: str, parts: int) -> DataFrame:
+    """The results of all but one of each hot group of equal rows: each is followed by its like."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = batch["text"][k].as_py()
+                (one,) = _compared([batch["id"][k].as_py()], [text], [text])
+                yield pa.RecordBatch.from_arrays([*one.columns, batch["n"].slice(k, 1)], [*_NAMES, "n"])
 
-def _neighbours(own: list[tuple[int, str]], edge: list[tuple[int, str]]) -> list[str]:
-    """The next text of each of ``own`` (sorted); the last one's is the first of ``edge``."""
-    return [t for _, t in own[1:]] + [edge[0][1]]
+    done = hot.mapInArrow(run, f"{schema}, n bigint")
+    pieces = done.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n - 2) div 1000"))))
+    dealt = pieces.repartition(parts, "id", "fingerprint", "part")
+    copies = F.least(F.lit(1000).cast("bigint"), F.col("n") - 1 - F.col("part") * 1000)
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select(*_NAMES)
 
 
-def edited_fingerprints(docs: DataFrame, *, rows_per_range: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text, and the text whose last half is replaced by the start of the next document.
 
-    The next document is the one with the next smaller id; after the smallest comes the largest.  Ids are cut into ranges
-    (approximate quantiles); texts travel to their range once, many to a compressed block, and the first document of a
-    range also to the range above it.  So neighbours meet without a global sort.
+    The next document is the one with the next smaller id; after the smallest comes the largest.  Keys (id and a hash of
+    the text) are counted and cut into as many ranges as there are shuffle partitions; each text travels to its range once, and
+    the first of a range also to the range above it.  A range is sorted by Spark and streamed, so it may be of any size.
 
     Returns per row: ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next.
 
-    Null text counts as empty.  Rows with equal ids are neighbours, ordered by text; null ids come last.  A table of one
-    row is its own neighbour.  Texts without paragraphs have the fingerprint of nothing.  Other columns are ignored; an
-    empty table gives no rows.
+    Null text counts as empty.  Rows with equal ids are neighbours, ordered by a hash of their texts, then by these; null ids
+    come last.  A table of one row is its own neighbour.  Texts without paragraphs have the fingerprint of nothing.  Of rows
+    that are equal and many (over 1/HOT_SHARE of the table) one takes its place in the order and the others, whose results are
+    alike, are dealt out anew.  Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    ids = rows.select("id")
-    n = ids.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_range))
-    cuts = sorted(set(ids.filter(F.col("id") != _NO_ID).approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if n else []
-    cuts = [int(c) for c in cuts]
-
-    def range_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = batch["id"].to_numpy()
-            at = np.searchsorted(cuts, some)
-            for k in np.unique(at).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some[at == k].max()], pa.int64())], ["rng", "top"])
-
-    tops = {k: top for k, top in ids.mapInArrow(range_of, "rng int, top bigint").groupBy("rng").agg(F.max("top")).collect()}
-    order = sorted(tops)
-    above = {tops[k]: order[(i + 1) % len(order)] for i, k in enumerate(order)}  # the range that needs this id as its edge
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
-            at = np.searchsorted(cuts, batch["id"].to_numpy())
-            out: list[tuple[int, bool, bytes]] = []
-            for k in np.unique(at).tolist():
-                picked, size = [], 0
-                for i in np.flatnonzero(at == k).tolist():
-                    picked.append(i)
-                    size += len(texts[i])
-                    if size > 2 << 20:
-                        out.append((k, False, _pack([some[j] for j in picked], [texts[j] for j in picked])))
-                        picked, size = [], 0
-                if picked:
-                    out.append((k, False, _pack([some[j] for j in picked], [texts[j] for j in picked])))
-            out += [(above[x], True, _pack([x], [t])) for x, t in zip(some, texts) if x in above]
-            for k, edge, blob in out:
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([edge]), pa.array([blob], pa.binary())], ["rng", "edge", "blob"])
-
-    def finish(own: list[tuple[int, str]], edge: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-        own.sort(key=lambda x: (-x[0], x[1]))
-        edge.sort(key=lambda x: x[1])
-        after = _neighbours(own, edge)
-        for k in range(0, len(own), 1000):
-            part, nexts = own[k : k + 1000], after[k : k + 1000]
-            texts = [t for _, t in part]
-            edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, nexts)]
-            mine, last, changed = fingerprints(texts), fingerprints(nexts[-1:]), fingerprints(edited)
-            following = np.concatenate([mine[1:], last])
-            arrays = [
-                pa.array([x if x != _NO_ID else None for x, _ in part], pa.int64()),
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                pa.array([x.tobytes().hex() for x in mine], pa.string()),
-                pa.array([x.tobytes().hex() for x in changed], pa.string()),
-                pa.array(likeness(mine, changed), pa.float64()),
-                pa.array(likeness(mine, following), pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, edge = None, [], []
-        for batch in batches:
-            for k, is_edge, blob in zip(batch["rng"].to_pylist(), batch["edge"].to_pylist(), batch["blob"]):
-                if k != at and own:
-                    yield from finish(own, edge)
-                    own, edge = [], []
-                at = k
-                (edge if is_edge else own).extend(_unpack(blob.as_buffer()))
-        if own:
-            yield from finish(own, edge)
-
-    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    sent = rows.mapInArrow(send, "rng int, edge boolean, blob binary")
-    met = sent.repartitionById(ranges, F.col("rng")).sortWithinPartitions("rng")  # a range is a partition
-    return met.mapInArrow(receive, schema).withColumnRenamed("id", id_col)
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession)
+    own, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(own.alias("id"), text.alias("text")).withColumn("key", F.coalesce("id", F.lit(_NO_ID))).withColumn("h", F.xxhash64("text"))
+    keys = work.save(rows.groupBy("key", "h", F.col("id").isNull().alias("none")).agg(F.count(F.lit(1)).alias("n")), "keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot_keys = keys.filter((F.col("n") * HOT_SHARE > total) & (F.col("n") > 1000)).select("key", "h", "none", "n")  # fewer than HOT_SHARE
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = keys.select("key", "h").repartitionByRange(ranges, "key", "h").mapInArrow(_ends, "key bigint, h bigint")
+    tops = sorted((r["key"], r["h"]) for r in ends.collect())  # one row per range
+
+    chain = rows
+    hot = None
+    if not hot_keys.isEmpty():
+        few = F.broadcast(hot_keys.withColumnRenamed("n", "hot_n"))
+        marked = rows.withColumn("none", F.col("id").isNull()).join(few, ["key", "h", "none"], "left")
+        hot = work.save(marked.filter("hot_n IS NOT NULL").groupBy("id", "key", "h", "text").agg(F.count(F.lit(1)).alias("n")), "hot")
+        chain = marked.filter("hot_n IS NULL").select("id", "text", "key", "h").unionByName(hot.select("id", "text", "key", "h"))
+    placed = chain.withColumn("at", _range_udf(tops)("key", "h"))
+    goes = F.array_compact(F.array(F.struct(F.col("at.rng").alias("rng"), F.lit(False).alias("edge")), F.when(F.col("at.above") >= 0, F.struct(F.col("at.above").alias("rng"), F.lit(True).alias("edge")))))
+    sent = placed.select("id", "key", "h", "text", F.inline(goes))
+    met = sent.repartitionById(max(len(tops), 1), F.col("rng")).sortWithinPartitions("edge", F.desc("key"), F.desc("h"), "text")  # a range is a partition
+    found = met.select("id", "text", "edge").mapInArrow(_follow, _RESULT)
+    if hot is not None:
+        found = found.unionByName(_repeats(hot.filter("n > 1"), _RESULT, ranges))
+    return found.withColumnRenamed("id", id_col)
