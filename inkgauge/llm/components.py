@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, lookup
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m, n): the smallest neighbour of each ``a`` and the number of its edges, combined before the shuffle."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node hands its larger neighbours to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    joined = lookup(both, _least(both), ["a"], "n", 2 * total)
+    return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node (a > b) hands its smaller neighbours, and itself, to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(edges)
+    moved = lookup(edges, least, ["a"], "n", total).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: bigint) that isn't itself the smallest of its component.
 
-    Nodes join by hash and minima are combined before each shuffle, so a node with very many links is no bottleneck.  A
-    logarithmic number of rounds; each is written to the shared folder and compared by a sum of hashes.
+    Minima are combined before each shuffle and joined back by ``lookup``, which broadcasts those of the few nodes with a large
+    share of all links, so that no node's links meet in one task.  A logarithmic number of rounds; each is written to the
+    shared folder and compared by a sum of hashes.
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = work.save(edges.filter(F.col("a") != F.col("b")).select(a.alias("a"), b.alias("b")).distinct(), f"{name}0")
@@ -36,6 +42,8 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         if found == mark or found[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark, k = found, k + 1
-        now = work.save(_small_star(_large_star(now)), f"{name}{k}")
+        large = work.save(_large_star(now, found[0]), f"{name}{k}large")
+        now = work.save(_small_star(large, found[0]), f"{name}{k}")
+        work.drop(f"{name}{k}large")
         if k > 1:
             work.drop(f"{name}{k - 2}")

@@ -36,6 +36,33 @@ def norm(text):
 # --- exact dedup -------------------------------------------------------------------------------------------------------
 
 
+def test_merge_of_sorted_runs():
+    """Blocks of several runs, read by their lowest keys, make one run; equal keys are folded to the smallest identifier."""
+    rng = np.random.default_rng(0)
+    batches, want = [], {}
+    for run in range(5):
+        entries = np.zeros(300, exact_dedup._ENTRY)
+        entries["key"] = [b"%03d" % k for k in np.sort(rng.integers(0, 400, 300))]
+        entries["id"], entries["row"], entries["n"] = rng.integers(0, 50, 300), run * 1000 + np.arange(300), 1
+        entries["none"] = rng.random(300) < 0.2
+        for e in entries:
+            best, n = want.get(e["key"], ((9, 0, 0), 0))
+            want[e["key"]] = min(best, (int(e["none"]), int(e["id"]), int(e["row"]))), n + 1
+        out = exact_dedup._Writer(0, 0)
+        for k in range(0, 300, 70):
+            batches += out.add(entries[k : k + 70])
+        batches += out.close()
+    small = []
+    for b in batches:  # cut into small blocks
+        whole = np.frombuffer(b["entries"][0].as_py(), exact_dedup._ENTRY)
+        small += [(p["key"][0].ljust(44, b"\0"), p.tobytes()) for p in np.split(whole, range(40, len(whole), 40)) if len(p)]
+    pa = exact_dedup.pa
+    blocks = [pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([low]), pa.array([x])], ["slice", "run", "low", "entries"]) for low, x in sorted(small)]
+    merged = np.concatenate([np.frombuffer(b["entries"][0].as_py(), exact_dedup._ENTRY) for b in exact_dedup._merge_runs(iter(blocks))])
+    assert merged["key"].tolist() == sorted(want)
+    assert {e["key"]: ((int(e["none"]), int(e["id"]), int(e["row"])), int(e["n"])) for e in merged} == want
+
+
 @pytest.mark.parametrize("fan_in", [2, 16])
 def test_exact_dedup_equals_grouping(docs, fan_in):
     found = rows(exact_dedup.exact_dedup(docs, fan_in=fan_in))
@@ -152,17 +179,19 @@ def test_bpe_equals_library(docs, reference_encoding):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found) == want
 
 
-def test_bpe_on_random_texts(reference_encoding):
+def test_bpe_on_random_texts(spark, reference_encoding, monkeypatch):
+    """Many small blocks, so that chunks go to several of them."""
     import random
 
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 900)
     rng = random.Random(3)
-    texts = ["".join(rng.choice("ab \n'st.é́Σ1\t<| \x1c") for _ in range(rng.randint(0, 80))) for _ in range(2000)]
-    own = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN, 100)
-    for text, (raw, decimal) in zip(texts, own.encode(texts)):
+    texts = ["".join(rng.choice("ab \n'st.é́Σ1\t<| \x1c\0") for _ in range(rng.randint(0, 80))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in byte_bpe.encode_documents(df, ranks_path=RANKS, pattern=public_tokenizers.PATTERN, with_ids=True).collect()}
+    assert len(found) == len(texts)
+    for k, text in enumerate(texts):
         want = reference_encoding.encode_ordinary(text)
-        assert np.frombuffer(raw, "<u4").tolist() == want
-        assert decimal.decode() == ",".join(map(str, want))
-        assert own.decode(raw) == text.encode()
+        assert found[k].ids == want and found[k].decoded_sha256 == sha(text) and found[k].ids_sha256 == sha(",".join(map(str, want)))
 
 
 def test_replay_takes_lower_rank_first():
@@ -323,6 +352,42 @@ def test_near_dedup_joins_chains_and_open_buckets(spark):
     assert [found[i] for i in range(len(texts))] == roots
 
 
+@pytest.mark.parametrize("block", [3])
+def test_near_dedup_of_large_open_buckets(spark, monkeypatch, block):
+    """Many texts that share half of their words with one another, in clusters: buckets are cut, blocked, and no link is lost."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SET_BYTES", 4_000)
+    monkeypatch.setattr(near_dedup, "STAR_ROWS", 7)
+    rng, texts = random.Random(1), []
+    shared = [f"s{i}" for i in range(150)]
+    for cluster in range(12):
+        own = shared + [f"c{cluster}-{i}" for i in range(70)]
+        for _ in range(5):
+            w = list(own)
+            w[rng.randrange(150, 220)] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    _, roots = plain_components(texts, 4, 80)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_components(df, words=4).collect()}
+    assert [found[i] for i in range(len(texts))] == roots
+
+
+def test_near_dedup_without_pruning(docs):
+    assert near_dedup.least_matches(0.8, 0) == [(m, 0) for m in range(near_dedup.STEP, near_dedup.HASHES + 1, near_dedup.STEP)]
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    from inkgauge.llm.common import Workspace
+    from inkgauge.llm.components import components
+
+    links = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5060)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint"), Workspace(spark), "c").collect()}
+    assert found == {k: 0 for k in range(1, 3000)} | {k: 5000 for k in range(5001, 5061)}
+
+
 def test_near_dedup_keeps_one_row_of_each(docs):
     kept = near_dedup.near_dedup(docs)
     assert kept.columns == docs.columns
@@ -382,7 +447,7 @@ def test_line_dedup_cases(docs):
 def test_fingerprints_edit_and_neighbour(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").repartition(3)
     texts = {r.doc_id: r.text for r in df.collect()}
-    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(df, rows_per_range=17).collect()}
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(df).collect()}
     order = sorted(texts, reverse=True)
     assert found.keys() == texts.keys()
     for doc, after in zip(order, order[1:] + order[:1]):
@@ -429,6 +494,66 @@ def test_fingerprints_cases(docs):
     assert Counter(r["n_chars"] for r in found) == Counter(len(t or "") for _, t, *_ in awkward_rows())
 
 
+def plain_fingerprint(text):
+    """Counts and sums by plain loops over the paragraphs."""
+    import xxhash
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    units = [p for line in text.split("\n") for p in line.replace(". ", ".\n").split("\n") if p]
+    wide, fine = [0] * fingerprints.WIDE, [[0] * fingerprints.LANES for _ in range(fingerprints.LEVELS)]
+    for unit in units:
+        h = xxhash.xxh3_64_intdigest(unit)
+        for k in range(fingerprints.WIDE):
+            wide[k] = (wide[k] + mix((h + (k + 1) * 0x9E3779B97F4A7C15) % 2**64)) % 2**64
+        place = mix(h ^ 0xD1B54A32D192ED03)
+        for level in range(fingerprints.LEVELS):
+            if place >> 8 & 0xFFFFFFFF < 2**32 >> level:
+                lane = place % fingerprints.LANES
+                fine[level][lane] = (fine[level][lane] + (place >> 48)) % 2**16
+    return len(units), wide, fine
+
+
+def plain_likeness(a, b):
+    if a[:2] == b[:2]:
+        return 1.0
+    differ = [sum(x != y for x, y in zip(p, q)) for p, q in zip(a[2], b[2])]
+    level = next((k for k, d in enumerate(differ) if d <= 0.7 * fingerprints.LANES), fingerprints.LEVELS - 1)
+    alone = -fingerprints.LANES * np.log1p(-min(differ[level], fingerprints.LANES - 0.5) / fingerprints.LANES) * 2.0**level
+    return min(1.0, max(0.0, 1 - max(alone, 1.0) / max(a[0] + b[0], 1)))
+
+
+def test_fingerprints_equal_plain_sums(docs):
+    """Fingerprints, edited ones and both likenesses of every row against the plain version, in the order of the ids."""
+    found = [r for r in fingerprints.edited_fingerprints(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()]
+    texts = {d: t or "" for d, t, *_ in awkward_rows() if d is not None}
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    assert {r.doc_id for r in found} == set(texts)
+    for r in found:
+        text, follows = texts[r.doc_id], texts[after[r.doc_id]]
+        half = len(text) // 2
+        own, edited, beside = map(plain_fingerprint, (text, text[: len(text) - half] + follows[:half], follows))
+        for shown, plain in ((r.fingerprint, own), (r.edited_fingerprint, edited)):
+            record = np.frombuffer(bytes.fromhex(shown), fingerprints._RECORD)[0]
+            assert (int(record["count"]), record["wide"].tolist(), record["fine"].tolist()) == plain
+        assert abs(r.near_edited - plain_likeness(own, edited)) < 1e-9 and abs(r.near_next - plain_likeness(own, beside)) < 1e-9
+
+
+@pytest.mark.parametrize("text", ["concat('text ', id)", "'same'"])
+def test_fingerprints_of_a_hot_id(spark, text):
+    """Rows of one id, of different texts or equal ones, are spread over partitions; each has its neighbour."""
+    df = spark.range(6000).selectExpr("if(id < 5000, 7L, id) AS doc_id", f"if(id < 5000, {text}, concat('t', id)) AS text").repartition(5)
+    done = fingerprints.edited_fingerprints(df)
+    sizes = [r["count"] for r in done.filter("doc_id = 7").groupBy(fingerprints.F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 4000
+    like = done.filter("doc_id = 7 AND near_next = 1").count()
+    assert like == (4999 if text == "'same'" else 0) and done.count() == 6000
+
+
 def test_fingerprint_of_single_row(spark):
     (r,) = fingerprints.edited_fingerprints(spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string")).collect()
     assert r.edited_sha256 == sha("abab")

@@ -14,7 +14,7 @@ RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tok
 SPECIAL = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|>a"])
 TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab .,!'\n\t  éΣ")), max_size=60)
 
-_codec = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN, 500)
+_merges, _cut, _vocabulary = byte_bpe.Merges(RANKS), byte_bpe.cutter(public_tokenizers.PATTERN), byte_bpe.Vocabulary(RANKS)
 _tokenizer = Tokenizer.from_file(WORDS)
 
 
@@ -27,9 +27,12 @@ def test_bpe_equals_library_and_decodes(text):
     if "_library" not in globals():
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
         _library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    ((raw, _),) = _codec.encode([text])
-    assert np.frombuffer(raw, "<u4").tolist() == _library.encode_ordinary(text)
-    assert _codec.decode(raw) == text.encode()
+    import regex
+
+    pieces = [p for chunk in _cut(text) for p in regex.findall(public_tokenizers.PATTERN, chunk)]
+    ids, _ = _merges.replay([p.encode() for p in pieces])
+    assert ids.tolist() == _library.encode_ordinary(text)
+    assert _vocabulary.decode(ids) == text.encode() and _vocabulary.spell(ids).decode() == ",".join(map(str, ids.tolist()))
 
 
 @settings(max_examples=300, deadline=None)
