@@ -5,15 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, lookup, worker_table
+from .common import worker_table
 
 _NONE = np.int64(1 << 40)  # the rank of a pair that no merge joins
 
@@ -112,177 +111,94 @@ class Merges:
         return symbol[left], np.concatenate([[0], np.cumsum(counts)])
 
 
-class Chunks(dict):
-    """Chunk -> its number in a block; new ones are numbered as they come."""
+class ChunkTable(dict):
+    """Chunk -> its place in ``ids`` and ``decimal``; new chunks wait for :meth:`fill`.
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        return n
-
-
-def cutter(pattern: str) -> Callable[[str], list[str]]:
-    """Text -> chunks, each of which the pattern cuts as it would within the text.
-
-    Cut where the pattern always cuts: before a lone space (which leads its chunk) and around a lone line break between two
-    words.  Texts with any other white space are cut by the pattern itself.
+    ``lead`` stands before every chunk (a space that belongs to the word after it, or nothing).
     """
-    import regex
-
-    split = regex.compile(pattern).findall
-
-    def cut(text: str) -> list[str]:
-        if not text:
-            return []
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else split(text)
-
-    return cut
-
-
-_PIECE = "block bigint, place int, kind int, chunk string, ids binary, body binary"
-_PIECES = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("kind", pa.int32()), ("chunk", pa.string()), ("ids", pa.binary()), ("body", pa.binary())])
-_WORD, _DOCS = 0, 1
-#: Characters of a block, whose distinct chunks are numbered together. A longer text is a block by itself.
-BLOCK_CHARS = 8 << 20
-
 
-def _numbered(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to blocks: a row per distinct chunk of the block, and its documents as ids and lists of chunk numbers."""
-
-    def block(number: int, docs: list[tuple[int | None, list[int]]], chunks: Chunks) -> Iterator[pa.RecordBatch]:
-        n = len(chunks)
-        words = [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([_WORD] * n, pa.int32()), pa.array(chunks, pa.string())]
-        yield pa.RecordBatch.from_arrays([*words, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_PIECES)
-        for k in range(0, len(docs), 500):
-            some = docs[k : k + 500]
-            ids = pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([len(x) for _, x in some], pa.int64())], ["id", "n"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, ids.schema) as out:
-                out.write_batch(ids)
-            body = np.fromiter((x for _, found in some for x in found), "<u4").tobytes()
-            row = [pa.array([number]), pa.array([k // 500], pa.int32()), pa.array([_DOCS], pa.int32()), pa.nulls(1, pa.string())]
-            yield pa.RecordBatch.from_arrays([*row, pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([body], pa.binary())], schema=_PIECES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, number = cutter(pattern), TaskContext.get().partitionId() << 32
-        docs, chunks, size = [], Chunks(), 0
-        for batch in batches:
-            for doc, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                text = text or ""
-                if size and size + len(text) > BLOCK_CHARS:
-                    yield from block(number, docs, chunks)
-                    docs, chunks, size, number = [], Chunks(), 0, number + 1
-                docs.append((doc, list(map(chunks.__getitem__, cut(text)))))
-                size += len(text)
-        if docs:
-            yield from block(number, docs, chunks)
-
-    return run
+    def __init__(self, lead: str):
+        super().__init__()
+        self.lead, self.fresh, self.ids, self.decimal = lead, [], [], []
 
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.fresh.append(chunk)
+        return n
 
-#: Chunks that one replay encodes: its arrays take about 100 bytes a byte of them.
-REPLAY = 200_000
+    def fill(self, split, merges: Merges) -> None:
+        """One replay over the distinct matches of all fresh chunks."""
+        if not self.fresh:
+            return
+        lists = [split(self.lead + x) for x in self.fresh]
+        place: dict[str, int] = {}
+        for pieces in lists:
+            for piece in pieces:
+                place.setdefault(piece, len(place))
+        ids, starts = merges.replay([p.encode("utf-8", "surrogatepass") for p in place])
+        raw, decimal = ids.astype("<u4").tobytes(), ",".join(map(str, ids.tolist())).encode()
+        widths = 2 + (ids > 9).astype(np.int64) + (ids > 99) + (ids > 999) + (ids > 9999) + (ids > 99999) + (ids > 999999)
+        shown = np.concatenate([[0], np.cumsum(widths)])[starts].tolist()
+        starts = (starts * 4).tolist()
+        for pieces in lists:
+            at = [place[p] for p in pieces]
+            if len(at) == 1:
+                (k,) = at
+                self.ids.append(raw[starts[k] : starts[k + 1]])
+                self.decimal.append(decimal[shown[k] : shown[k + 1] - 1])
+            else:
+                self.ids.append(b"".join([raw[starts[k] : starts[k + 1]] for k in at]))
+                self.decimal.append(b",".join([decimal[shown[k] : shown[k + 1] - 1] for k in at]))
+        self.fresh = []
 
 
-def _encoded(ranks_path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Distinct chunks of the corpus with the number of their blocks, to the same with their ids."""
+class Codec:
+    """Encoder and decoder of one Python worker, with tables of at most ``bound`` chunks each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str, pattern: str, bound: int):
         import regex
 
-        merges = worker_table(("merges", ranks_path), lambda: Merges(ranks_path))
-        split = regex.compile(pattern).findall
-        for batch in batches:
-            for start in range(0, batch.num_rows, REPLAY):
-                part = batch.slice(start, REPLAY)
-                lists = [split(x) for x in part["chunk"].to_pylist()]
-                place: dict[str, int] = {}
-                for pieces in lists:
-                    for piece in pieces:
-                        place.setdefault(piece, len(place))
-                ids, starts = merges.replay([p.encode("utf-8", "surrogatepass") for p in place])
-                raw, at = ids.astype("<u4").tobytes(), (starts * 4).tolist()
-                found = [b"".join([raw[at[k] : at[k + 1]] for k in map(place.__getitem__, pieces)]) for pieces in lists]
-                yield pa.RecordBatch.from_arrays([part["chunk"], part["n"], pa.array(found, pa.binary())], ["chunk", "n", "ids"])
-
-    return run
+        self.split, self.merges, self.bound = regex.compile(pattern).findall, Merges(path), bound
+        self.bare, self.led = ChunkTable(""), ChunkTable(" ")
 
+    def _chunks(self, text: str) -> list[tuple[ChunkTable, list[str]]]:
+        """Cut where the pattern always cuts: before a lone space and around a lone line break between two words.
 
-class _Ragged:
-    """Lists of numbers, one after the other; picks the lists of many places at once."""
-
-    def __init__(self, data: np.ndarray, lengths: np.ndarray):
-        self.data, self.lengths = data, lengths
-        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-
-    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All values of the lists of ``places`` in a row, and the lists' lengths."""
-        lengths = self.lengths[places]
-        total = int(lengths.sum())
-        first = np.repeat(self.starts[places] - (np.cumsum(lengths) - lengths), lengths)
-        return self.data[first + np.arange(total)], lengths
-
-
-class Vocabulary:
-    """Token bytes and decimal spellings by id, as ragged arrays."""
-
-    def __init__(self, path: str):
-        token = Merges(path).token
-        tokens = [token.get(k, b"") for k in range(max(token) + 1)]
-        self.bytes = _Ragged(np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64))
-        spelled = [b"%d," % k for k in range(len(tokens))]
-        self.decimal = _Ragged(np.frombuffer(b"".join(spelled), np.uint8), np.array([len(t) for t in spelled], np.int64))
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of a sequence of ids."""
-        return self.bytes.of(ids)[0].tobytes()
-
-    def spell(self, ids: np.ndarray) -> bytes:
-        """The ids in decimal, joined by commas."""
-        return self.decimal.of(ids)[0].tobytes()[:-1]
-
-
-_SCHEMA = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>"
-_OUT = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-
-
-def _looked_up(ranks_path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks, each with the ids of its chunks first and then its documents, to results."""
-
-    def documents(row: dict, table: _Ragged, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-        (heads,) = pa.ipc.open_stream(row["ids"])
-        numbers = np.frombuffer(row["body"], "<u4").astype(np.int64)
-        ends = np.cumsum(heads["n"].to_numpy())
-        rows = []
-        for doc, n, end in zip(heads["id"].to_pylist(), heads["n"].to_pylist(), ends.tolist()):
-            ids, _ = table.of(numbers[end - n : end])
-            back, told = hashlib.sha256(vocabulary.decode(ids)).hexdigest(), hashlib.sha256(vocabulary.spell(ids)).hexdigest()
-            rows.append((doc, len(ids), told, back, ids.astype("<i4") if with_ids else None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _OUT)], [x.split()[0] for x in _SCHEMA.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = worker_table(("vocabulary", ranks_path), lambda: Vocabulary(ranks_path))
-        block, words, lengths, table = None, [], [], None
-        for batch in batches:
-            numbers, kinds = batch["block"].to_numpy(), batch["kind"].to_numpy()
-            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)]):
-                if numbers[start] != block:
-                    block, words, lengths, table = numbers[start], [], [], None
-                part = batch.slice(start, end - start)
-                if kinds[start] == _WORD:
-                    found = part["ids"].to_pylist()
-                    words.append(b"".join(found))
-                    lengths += [len(x) // 4 for x in found]
-                    continue
-                if table is None:
-                    table = _Ragged(np.frombuffer(b"".join(words), "<u4").astype(np.int64), np.array(lengths, np.int64))
-                    words, lengths = [], []
-                for row in part.to_pylist():
-                    yield from documents(row, table, vocabulary)
-
-    return run
+        Texts with any other white space are cut by the pattern itself.
+        """
+        if " ".join(text.split()) != text.replace("\n", " "):
+            return [(self.bare, self.split(text))]
+        lines = text.split("\n")
+        out = []
+        for k, line in enumerate(lines):
+            first, *rest = line.split(" ")
+            out.append((self.bare, ["\n", first] if k else [first]))
+            if rest:
+                out.append((self.led, rest))
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids (little-endian unsigned 32-bit), and their decimal list, of each text."""
+        places = []
+        for text in texts:
+            places.append([(t, list(map(t.__getitem__, chunks))) for t, chunks in self._chunks(text)] if text else [])
+        for table in (self.bare, self.led):
+            table.fill(self.split, self.merges)
+        for found in places:
+            raw = b"".join([b"".join(map(table.ids.__getitem__, at)) for table, at in found])
+            yield raw, b",".join([b",".join(map(table.decimal.__getitem__, at)) for table, at in found])
+        for table in (self.bare, self.led):
+            if len(table) > self.bound:
+                table.clear()
+                table.ids, table.decimal = [], []
+
+    def decode(self, raw: bytes) -> bytes:
+        """The bytes of ids given as :meth:`encode` returns them."""
+        return b"".join(map(self.merges.token.__getitem__, np.frombuffer(raw, "<u4").tolist()))
+
+
+def codec(path: str, pattern: str, bound: int = 400_000) -> Codec:
+    return worker_table(("codec", path, pattern, bound), lambda: Codec(path, pattern, bound))
 
 
 def encode_documents(
@@ -296,11 +212,9 @@ def encode_documents(
 ) -> DataFrame:
     """Byte-level BPE ids of every whole text, and the bytes decoded from them.
 
-    1. Texts are cut into chunks (mostly words with the space before them), which are numbered in blocks of about
-    BLOCK_CHARS characters; documents become lists of numbers.  2. The distinct chunks of the whole corpus, each once, are
-    encoded by replaying the merges in rank order over an index from pair to positions (side by side, since merges in different
-    words don't touch).  3. Ids go back to the blocks that have the chunk; chunks that are in very many blocks are
-    broadcast (there are fewer than HOT_SHARE of them).  4. Each block looks its documents' numbers up.
+    The corpus is taken batch by batch: the distinct words of a batch that its worker hasn't met are encoded in one
+    replay of the merges, and each document looks its words up.  There is no shuffle and no state beyond bounded tables.
+    (One replay over the distinct words of the whole corpus, joined back, took over three times the disk it may: README.)
 
     Returns per row: ``id_col``, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes
     decoded from the ids), and with ``with_ids`` also ids (array<int>).
@@ -308,15 +222,34 @@ def encode_documents(
     Null text counts as empty: no tokens.  Null and repeated ids are kept row by row.  Other columns are ignored; an
     empty table gives no rows.
     """
-    work = Workspace(docs.sparkSession)
+    schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks_path, pattern)
+        for batch in batches:
+            docs_in, texts = batch["id"].to_pylist(), [x or "" for x in batch["text"].to_pylist()]
+            for part in _by_size(texts, 6 << 20):
+                rows = []
+                for doc, (raw, decimal) in zip(docs_in[part], own.encode(texts[part])):
+                    back = hashlib.sha256(own.decode(raw)).hexdigest()
+                    ids = np.frombuffer(raw, "<i4") if with_ids else None
+                    rows.append((doc, len(raw) // 4, hashlib.sha256(decimal).hexdigest(), back, ids))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = work.save(rows.mapInArrow(_numbered(pattern), _PIECE), "pieces")
-    words = pieces.filter(F.col("kind") == _WORD).select("block", "place", "kind", "chunk")
-    counts = words.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-    encoded = work.save(counts.mapInArrow(_encoded(ranks_path, pattern), "chunk string, n bigint, ids binary"), "encoded")
-    known = lookup(words, encoded, ["chunk"], "n", words.count()).select("block", "place", "kind", "ids", F.lit(None).cast("binary").alias("body"))
-    both = known.unionByName(pieces.filter(F.col("kind") == _DOCS).select("block", "place", "kind", "ids", "body"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = both.repartition(parts, "block").sortWithinPartitions("block", "kind", "place")
-    out = met.mapInArrow(_looked_up(ranks_path, with_ids), _SCHEMA).withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
     return out if with_ids else out.drop("ids")
+
+
+def _by_size(texts: list[str], most: int) -> Iterator[slice]:
+    """Slices of about ``most`` characters; a longer text is a slice by itself."""
+    start = chars = 0
+    for k, text in enumerate(texts):
+        if chars and chars + len(text) > most:
+            yield slice(start, k)
+            start, chars = k, 0
+        chars += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
