@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, lookup, split_join, text_or_empty
+from .common import Workspace, lookup, text_or_empty
 from .components import components
 
 #: 32 bands of 5 hashes: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6.
@@ -21,10 +21,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time before a pair's posterior is looked at again.
 STEP = 32
-#: Representatives whose buckets are combined before anything is sent.
-STAR_ROWS = 50_000
-#: Members of a bucket that are compared as one block, and bytes of (compressed) words of a block; bytes of shingle sets kept.
-BLOCK, BLOCK_BYTES, SET_BYTES = 2048, 64 << 20, 64 << 20
+#: Members of a bucket that are compared as one block; bytes of shingle sets that a block keeps.
+BLOCK, SET_BYTES = 2048, 64 << 20
 
 _rng = np.random.default_rng(20_240_229)
 _ODD = (_rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)).astype(np.uint64)
@@ -142,47 +140,39 @@ def _edges(keys: np.ndarray, nodes: np.ndarray, centers: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(centers)], ["key", "node", "center"])
 
 
-def _starred(rows: list[np.ndarray], signatures: list[np.ndarray]) -> pa.RecordBatch:
-    """Each member of a bucket and the bucket's first member among these rows."""
-    nodes, keys = np.concatenate(rows), band_keys(np.concatenate(signatures))
-    order = np.argsort(nodes)
-    keys = keys[order].ravel()
-    nodes = np.repeat(nodes[order], BANDS)
-    by_key = np.argsort(keys, kind="stable")
-    keys, nodes = keys[by_key], nodes[by_key]
-    starts = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return _edges(keys, nodes, nodes[np.maximum.accumulate(np.where(starts, np.arange(len(keys)), 0))])
-
-
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Among STAR_ROWS rows at a time: each member of a bucket points to the bucket's first, and a first to itself."""
-    rows: list[np.ndarray] = []
-    signatures: list[np.ndarray] = []
+    """Within a batch: each member of a bucket points to the bucket's first, and that to itself."""
     for batch in batches:
-        if batch.num_rows:
-            rows.append(batch["row"].to_numpy())
-            signatures.append(_matrix(batch["sig"]))
-        if sum(map(len, rows)) >= STAR_ROWS:
-            yield _starred(rows, signatures)
-            rows, signatures = [], []
-    if rows:
-        yield _starred(rows, signatures)
+        nodes = batch["row"].to_numpy()
+        order = np.argsort(nodes)
+        keys = band_keys(_matrix(batch["sig"]))[order].ravel()
+        nodes = np.repeat(nodes[order], BANDS)
+        by_key = np.argsort(keys, kind="stable")
+        keys, nodes = keys[by_key], nodes[by_key]
+        starts = np.concatenate([[True], keys[1:] != keys[:-1]])
+        centers = nodes[np.maximum.accumulate(np.where(starts, np.arange(len(keys)), 0))]
+        yield _edges(keys, nodes, centers)
 
 
 def _join_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Firsts, sorted by key and node: each points to its bucket's very first; lone ones vanish."""
+    """Sorted by key and node: the firsts of batches point to the bucket's very first; lone ones vanish."""
     last_key, last_center = None, 0
     for batch in batches:
-        k, v = batch["key"].to_numpy(), batch["node"].to_numpy()
-        if not len(k):
+        keys, nodes, centers = (batch[k].to_numpy() for k in range(3))
+        if not len(keys):
             continue
+        head = nodes == centers
+        k, v = keys[head], nodes[head]
         starts = np.ones(len(k), bool)
         starts[1:] = k[1:] != k[:-1]
-        starts[0] = k[0] != last_key
-        first = np.maximum.accumulate(np.where(starts, np.arange(len(k)), -1))
-        top = np.where(first < 0, last_center, v[np.maximum(first, 0)])
-        last_key, last_center = k[-1], top[-1]
-        yield _edges(k[~starts], v[~starts], top[~starts])
+        if len(k):
+            starts[0] = k[0] != last_key
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(k)), -1))
+            top = np.where(first < 0, last_center, v[np.maximum(first, 0)])
+            last_key, last_center = k[-1], top[-1]
+            more = ~starts
+            yield _edges(k[more], v[more], top[more])
+        yield _edges(keys[~head], nodes[~head], centers[~head])
 
 
 def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -263,13 +253,7 @@ class _Verifier:
         self.reps, self.work, self.size, self.percent = reps, work, size, percent
         self.rule = least_matches(percent / 100, miss)
 
-    def _met(self, pairs: DataFrame, total: int, **columns: str) -> DataFrame:
-        """Pairs with columns of both sides; a hub with a large share of all pairs is dealt to several tasks."""
-        one = self.reps.select(F.col("row").alias("a"), *[F.col(c).alias(f"{n}a") for n, c in columns.items()])
-        two = self.reps.select(F.col("row").alias("b"), *[F.col(c).alias(f"{n}b") for n, c in columns.items()])
-        return split_join(pairs.join(two, "b"), one, "a", "b", total)
-
-    def prune(self, pairs: DataFrame, total: int) -> DataFrame:
+    def prune(self, pairs: DataFrame) -> DataFrame:
         """(a, b) -> (a, b, est) of pairs whose posterior stays above the miss probability."""
         rule, percent = self.rule, self.percent
 
@@ -283,10 +267,11 @@ class _Verifier:
                 some = part.take(pa.array(alive))
                 yield pa.RecordBatch.from_arrays([some["a"], some["b"], pa.array(est, pa.float64())], ["a", "b", "est"])
 
-        met = self._met(pairs, total, n="n", s="sig").select("a", "na", "sa", "b", "nb", "sb")
-        return met.mapInArrow(run, "a bigint, b bigint, est double")
+        one = self.reps.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+        two = self.reps.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+        return pairs.join(two, "b").join(one, "a").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a bigint, b bigint, est double")
 
-    def confirm(self, pairs: DataFrame, total: int) -> DataFrame:
+    def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full shingle sets are similar enough."""
         size, percent = self.size, self.percent
 
@@ -301,64 +286,34 @@ class _Verifier:
                     keep.append(_similar(last[1], shingles(unpack(wb).split(), size), percent))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return self._met(pairs.select("a", "b"), total, w="words").select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a large bucket to smaller ones: those that agree in this band and in one more."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, bands = batch["key"].to_numpy(), band_keys(_matrix(batch["sig"]))
-        other = bands != keys[:, None]
-        finer = _mix((bands.view(np.uint64) * _ODD[40]) ^ keys[:, None].view(np.uint64)).view(np.int64)
-        times = other.sum(axis=1)
-        columns = [pa.array(finer[other]), *[pa.array(np.repeat(batch[c].to_numpy(), times)) for c in ("node", "comp", "bytes")]]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "node", "comp", "bytes"])
+        one = self.reps.select(F.col("row").alias("a"), F.col("words").alias("wa"))
+        two = self.reps.select(F.col("row").alias("b"), F.col("words").alias("wb"))
+        return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _open_buckets(members: DataFrame) -> DataFrame:
-    """(key, cnt, bytes, sum) of the buckets whose members are in more than one component."""
-    alike = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
-    sizes = F.count(F.lit(1)).alias("cnt"), F.sum("bytes").alias("bucket_bytes"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    return members.groupBy("key").agg(alike, *sizes).filter("low < high").select("key", "cnt", "bucket_bytes", "sum")
+def _with_roots(pairs: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
+    """Add ``c<col>``, the component of each named column."""
+    for col in cols:
+        own = roots.select(F.col("node").alias(col), F.col("root").alias("__root"))
+        pairs = pairs.join(own, col, "left").withColumn(f"c{col}", F.coalesce("__root", col)).drop("__root")
+    return pairs
 
 
-def _residual_links(edges: DataFrame, roots: DataFrame, reps: DataFrame, work: Workspace, size: int, percent: int, rule: list[tuple[int, int]]) -> DataFrame:
-    """Links (a, b) between components, from the pairs of the members of every bucket that has more than one.
+def _residual_links(edges: DataFrame, roots: DataFrame, reps: DataFrame, size: int, percent: int, rule: list[tuple[int, int]]) -> DataFrame:
+    """Links (a, b) between components, from all pairs of the members of every bucket that has more than one.
 
     A star shows all links of a bucket only if each of its edges holds; other buckets are compared in full, here: blocks of
     members meet in one task, are pruned by their signatures and verified on their sets, and only links that join
     components become rows, fewer than there are members.  Buckets of equal members are compared once.
-
-    A bucket of more than BLOCK members is cut first into those that agree in a second band, too; a pair of similarity 0.8 that
-    shares one band shares no other with probability 5e-6.  What is still larger is compared block by block: its rows are then
-    sent once per block of the bucket, so this last resort grows with the square of such a bucket's members.
     """
-    whole = reps.select(F.col("row").alias("node"), "bytes").join(roots, "node", "left").select("node", "bytes", F.coalesce("root", "node").alias("comp"))
-    whole = work.save(whole, "whole")
-    total = edges.count()
-    centers = whole.select(F.col("node").alias("center"), F.col("comp").alias("ccenter"))
-    told = split_join(edges.join(whole.select("node", F.col("comp").alias("cnode")), "node"), centers, "center", "node", total)
-    keys = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("cnode") != F.col("ccenter")).alias("open")).filter("open").select("key", "n")
-    some = lookup(edges, work.save(keys, "open"), ["key"], "n", total)
-    members = some.select("key", "node").unionByName(some.select("key", F.col("center").alias("node"))).distinct()
-    members = work.save(members.join(whole, "node").select("key", "node", "comp", "bytes"), "members")
-    count = members.count()
-    buckets = work.save(_open_buckets(members), "buckets")
-    large = buckets.filter(F.col("cnt") > BLOCK)
-    if not large.isEmpty():
-        crowd = lookup(members, large.select("key", "cnt"), ["key"], "cnt", count).join(reps.select(F.col("row").alias("node"), "sig"), "node")
-        finer = work.save(crowd.select("key", "node", "comp", "bytes", "sig").mapInArrow(_finer, "key bigint, node bigint, comp bigint, bytes bigint"), "finer")
-        small = buckets.filter(F.col("cnt") <= BLOCK)
-        members = lookup(members, small.select("key", "cnt"), ["key"], "cnt", count).drop("cnt").unionByName(finer)
-        members = work.save(members.select("key", "node", "comp", "bytes"), "cut")
-        count = members.count()
-        buckets = work.save(_open_buckets(members), "cut_buckets")
-    # of buckets with the same members one is enough
-    chosen = buckets.groupBy("sum", "cnt").agg(F.min("key").alias("key"), F.max("bucket_bytes").alias("bucket_bytes"))
-    blocks = F.ceil(F.greatest(F.col("cnt") / BLOCK, F.col("bucket_bytes") / BLOCK_BYTES)).cast("int")
-    members = lookup(members, work.save(chosen.select("key", "cnt", blocks.alias("blocks")), "chosen"), ["key"], "cnt", count)
+    open_keys = _with_roots(edges, roots, "node", "center").filter(F.col("cnode") != F.col("ccenter")).select("key").distinct()
+    members = edges.join(open_keys, "key", "left_semi")
+    members = members.select("key", "node").unionByName(members.select("key", F.col("center").alias("node"))).distinct()
+    alike = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
+    buckets = members.groupBy("key").agg(alike, F.count(F.lit(1)).alias("cnt")).groupBy("sum", "cnt").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
+    members = members.join(buckets.select("key", blocks.alias("blocks")), "key")
+    members = _with_roots(members, roots, "node").withColumnRenamed("cnode", "comp")
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
@@ -378,12 +333,12 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     """Group rows whose sets of word shingles are linked by Jaccard similarities of ``percent`` or more.
 
     1. Rows with equal sets become one representative.  2. MinHash signatures are cut into bands; in every bucket each
-    member is paired with the bucket's first among STAR_ROWS rows where it lies; only these firsts travel by the bucket's
-    key and are paired with the very first, so a bucket of any size is no bottleneck.  3. Pairs are compared batch by batch of hashes and dropped once the posterior probability of
+    member is paired with the first of its batch, and these firsts with the bucket's very first (a star).  All rows of a
+    bucket travel by its key, 24 bytes each.  3. Pairs are compared batch by batch of hashes and dropped once the posterior probability of
     being similar falls below ``miss``.  4. Each document's likeliest pair is verified on the full shingle sets.  5. Buckets
-    whose members are still in different components are compared in full, in blocks, pruned and verified in the same way.
-    So every candidate pair of different components is decided, and pairs inside a component are not needed.  With
-    ``miss=0`` nothing is pruned by the posterior, only by the sizes of the sets.
+    whose members are still in different components are compared in full, in blocks, pruned and verified in the same way;
+    such a bucket of m members sends m * ceil(m / BLOCK) rows with texts.  ``miss=0`` turns pruning by the posterior off.
+    So every candidate pair of different components is decided, and pairs inside a component are not needed.
 
     Returns per row: ``id_col``, n_shingles, component_id (the smallest id of the component), kept (id = component_id),
     row (a unique number, from ``row_col`` if given), first (whether it is the component's one row that stays, also where ids are null or repeat).
@@ -400,21 +355,19 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     sets = work.save(sets, "sets")
     first_rows = full.select("row", "sig").join(sets.select(F.col("rep").alias("row")), "row", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = work.save(first_rows.mapInArrow(_local_stars, _EDGE), "stars")
-    heads = stars.filter("node = center").select("key", "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-    edges = work.save(stars.filter("node <> center").unionByName(heads.mapInArrow(_join_stars, _EDGE)), "edges")
-    work.drop("stars")
+    stars = first_rows.mapInArrow(_local_stars, _EDGE).repartition(parts, "key").sortWithinPartitions("key", "node")
+    edges = work.save(stars.mapInArrow(_join_stars, _EDGE), "edges")
     met = edges.select("node").unionByName(edges.select(F.col("center").alias("node"))).distinct()
     # only documents that share a bucket are looked at again
-    reps = full.select("row", "n", "sig", "words", F.octet_length("words").cast("bigint").alias("bytes")).join(met.select(F.col("node").alias("row")), "row", "left_semi")
+    reps = full.select("row", "n", "sig", "words").join(met.select(F.col("node").alias("row")), "row", "left_semi")
     reps = work.save(reps, "reps")
     check = _Verifier(reps, work, words, percent, miss)
-    pairs = work.save(edges.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    likely = work.save(check.prune(pairs, pairs.count()), "likely")
-    best = work.save(likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")), "best")
-    links = work.save(check.confirm(best, best.count()), "links0")
+    pairs = edges.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    likely = work.save(check.prune(pairs), "likely")
+    best = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+    links = work.save(check.confirm(best), "links0")
     roots = components(links, work, "roots0_")
-    more = work.save(_residual_links(edges, roots, reps, work, words, percent, check.rule), "links1")
+    more = work.save(_residual_links(edges, roots, reps, words, percent, check.rule), "links1")
     roots = components(links.unionByName(more), work, "roots1_")
 
     sets = sets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

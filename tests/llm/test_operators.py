@@ -357,7 +357,6 @@ def test_near_dedup_of_large_open_buckets(spark, monkeypatch, block):
 
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "SET_BYTES", 4_000)
-    monkeypatch.setattr(near_dedup, "STAR_ROWS", 7)
     rng, texts = random.Random(1), []
     shared = [f"s{i}" for i in range(150)]
     for cluster in range(12):
