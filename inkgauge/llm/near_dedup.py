@@ -141,7 +141,7 @@ def _edges(keys: np.ndarray, nodes: np.ndarray, centers: np.ndarray) -> pa.Recor
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a batch: each member of a bucket points to the bucket's first, and that to itself."""
+    """Within a batch: each member of a bucket points to the bucket's first, and that to itself; only these firsts travel."""
     for batch in batches:
         nodes = batch["row"].to_numpy()
         order = np.argsort(nodes)
@@ -155,24 +155,19 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by key and node: the firsts of batches point to the bucket's very first; lone ones vanish."""
+    """Firsts of batches, sorted by key and node: each points to its bucket's very first; lone ones vanish."""
     last_key, last_center = None, 0
     for batch in batches:
-        keys, nodes, centers = (batch[k].to_numpy() for k in range(3))
+        keys, nodes = batch["key"].to_numpy(), batch["node"].to_numpy()
         if not len(keys):
             continue
-        head = nodes == centers
-        k, v = keys[head], nodes[head]
-        starts = np.ones(len(k), bool)
-        starts[1:] = k[1:] != k[:-1]
-        if len(k):
-            starts[0] = k[0] != last_key
-            first = np.maximum.accumulate(np.where(starts, np.arange(len(k)), -1))
-            top = np.where(first < 0, last_center, v[np.maximum(first, 0)])
-            last_key, last_center = k[-1], top[-1]
-            more = ~starts
-            yield _edges(k[more], v[more], top[more])
-        yield _edges(keys[~head], nodes[~head], centers[~head])
+        starts = np.ones(len(keys), bool)
+        starts[1:] = keys[1:] != keys[:-1]
+        starts[0] = keys[0] != last_key
+        first = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), -1))
+        top = np.where(first < 0, last_center, nodes[np.maximum(first, 0)])
+        last_key, last_center = keys[-1], top[-1]
+        yield _edges(keys[~starts], nodes[~starts], top[~starts])
 
 
 def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -299,21 +294,25 @@ def _with_roots(pairs: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
     return pairs
 
 
-def _residual_links(edges: DataFrame, roots: DataFrame, reps: DataFrame, size: int, percent: int, rule: list[tuple[int, int]]) -> DataFrame:
+def _residual_links(edges: DataFrame, roots: DataFrame, reps: DataFrame, work: Workspace, size: int, percent: int, rule: list[tuple[int, int]]) -> DataFrame:
     """Links (a, b) between components, from all pairs of the members of every bucket that has more than one.
 
     A star shows all links of a bucket only if each of its edges holds; other buckets are compared in full, here: blocks of
     members meet in one task, are pruned by their signatures and verified on their sets, and only links that join
-    components become rows, fewer than there are members.  Buckets of equal members are compared once.
+    components become rows, fewer than there are members.  Buckets of equal members are compared once.  A bucket's members
+    meet in one task only in these blocks; joins by the hub of a star are split by adaptive execution alone.
     """
-    open_keys = _with_roots(edges, roots, "node", "center").filter(F.col("cnode") != F.col("ccenter")).select("key").distinct()
-    members = edges.join(open_keys, "key", "left_semi")
-    members = members.select("key", "node").unionByName(members.select("key", F.col("center").alias("node"))).distinct()
+    told = _with_roots(edges, roots, "node", "center")
+    keys = told.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.max(F.col("cnode") != F.col("ccenter")).alias("open"))
+    keys = work.save(keys.filter("open").select("key", "cnt"), "open")
+    held = lookup(edges, keys, ["key"], "cnt", edges.count())
+    members = held.select("key", "node").unionByName(held.select("key", F.col("center").alias("node"))).distinct()
+    members = work.save(_with_roots(members, roots, "node").select("key", "node", F.col("cnode").alias("comp")), "members")
     alike = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
     buckets = members.groupBy("key").agg(alike, F.count(F.lit(1)).alias("cnt")).groupBy("sum", "cnt").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
-    members = members.join(buckets.select("key", blocks.alias("blocks")), "key")
-    members = _with_roots(members, roots, "node").withColumnRenamed("cnode", "comp")
+    buckets = work.save(buckets.select("key", "cnt", blocks.alias("blocks")), "buckets")
+    members = lookup(members, buckets, ["key"], "cnt", members.count())
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
@@ -333,8 +332,8 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     """Group rows whose sets of word shingles are linked by Jaccard similarities of ``percent`` or more.
 
     1. Rows with equal sets become one representative.  2. MinHash signatures are cut into bands; in every bucket each
-    member is paired with the first of its batch, and these firsts with the bucket's very first (a star).  All rows of a
-    bucket travel by its key, 24 bytes each.  3. Pairs are compared batch by batch of hashes and dropped once the posterior probability of
+    member is paired with the first of its batch, where it lies; only these firsts travel by the bucket's key and are paired
+    with its very first (a star).  3. Pairs are compared batch by batch of hashes and dropped once the posterior probability of
     being similar falls below ``miss``.  4. Each document's likeliest pair is verified on the full shingle sets.  5. Buckets
     whose members are still in different components are compared in full, in blocks, pruned and verified in the same way;
     such a bucket of m members sends m * ceil(m / BLOCK) rows with texts.  ``miss=0`` turns pruning by the posterior off.
@@ -355,8 +354,10 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     sets = work.save(sets, "sets")
     first_rows = full.select("row", "sig").join(sets.select(F.col("rep").alias("row")), "row", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = first_rows.mapInArrow(_local_stars, _EDGE).repartition(parts, "key").sortWithinPartitions("key", "node")
-    edges = work.save(stars.mapInArrow(_join_stars, _EDGE), "edges")
+    stars = work.save(first_rows.mapInArrow(_local_stars, _EDGE), "stars")
+    heads = stars.filter("node = center").select("key", "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    edges = work.save(stars.filter("node <> center").unionByName(heads.mapInArrow(_join_stars, _EDGE)), "edges")
+    work.drop("stars")
     met = edges.select("node").unionByName(edges.select(F.col("center").alias("node"))).distinct()
     # only documents that share a bucket are looked at again
     reps = full.select("row", "n", "sig", "words").join(met.select(F.col("node").alias("row")), "row", "left_semi")
@@ -367,7 +368,7 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
     links = work.save(check.confirm(best), "links0")
     roots = components(links, work, "roots0_")
-    more = work.save(_residual_links(edges, roots, reps, words, percent, check.rule), "links1")
+    more = work.save(_residual_links(edges, roots, reps, work, words, percent, check.rule), "links1")
     roots = components(links.unionByName(more), work, "roots1_")
 
     sets = sets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
