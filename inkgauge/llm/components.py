@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, lookup
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node hands its larger neighbours to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    told = lookup(both.filter(F.col("b") > F.col("a")), least, ["a"], "n", 2 * total)
+    return told.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node (a > b) hands its smaller neighbours, and itself, to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each node (a > b) hands its smaller neighbours, and itself, to the smallest of them; no more than ``total`` edges."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = lookup(edges, least, ["a"], "n", total).filter(F.col("b") != F.col("m"))
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: bigint) that isn't itself the smallest of its component.
 
-    Minima are combined before each shuffle; the links of one node meet in a join by that node, which Spark's adaptive
-    execution splits where it is skewed.  A logarithmic number of rounds; each is written to the shared folder and compared by a sum of hashes.
+    Minima are combined before each shuffle and looked up by ``skew.lookup``, so that the links of one node meet in no task.
+    A logarithmic number of rounds; each is written to the shared folder and compared by a sum of hashes.
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = work.save(edges.filter(F.col("a") != F.col("b")).select(a.alias("a"), b.alias("b")).distinct(), f"{name}0")
@@ -36,6 +37,6 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         if found == mark or found[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark, k = found, k + 1
-        now = work.save(_small_star(_large_star(now)), f"{name}{k}")
+        now = work.save(_small_star(_large_star(now, found[0]), found[0]), f"{name}{k}")
         if k > 1:
             work.drop(f"{name}{k - 2}")

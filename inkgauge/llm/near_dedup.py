@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, lookup, text_or_empty
+from .common import Workspace, lookup, split_join, text_or_empty
 from .components import components
 
 #: 32 bands of 5 hashes: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6.
@@ -264,7 +264,8 @@ class _Verifier:
 
         one = self.reps.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
         two = self.reps.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        return pairs.join(two, "b").join(one, "a").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a bigint, b bigint, est double")
+        met = split_join(pairs.join(two, "b"), one, "a", "b", pairs.count())
+        return met.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a bigint, b bigint, est double")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full shingle sets are similar enough."""
@@ -283,15 +284,14 @@ class _Verifier:
 
         one = self.reps.select(F.col("row").alias("a"), F.col("words").alias("wa"))
         two = self.reps.select(F.col("row").alias("b"), F.col("words").alias("wb"))
-        return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
+        met = split_join(pairs.select("a", "b").join(two, "b"), one, "a", "b", pairs.count())
+        return met.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _with_roots(pairs: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
-    """Add ``c<col>``, the component of each named column."""
-    for col in cols:
-        own = roots.select(F.col("node").alias(col), F.col("root").alias("__root"))
-        pairs = pairs.join(own, col, "left").withColumn(f"c{col}", F.coalesce("__root", col)).drop("__root")
-    return pairs
+def _with_roots(rows: DataFrame, roots: DataFrame, col: str) -> DataFrame:
+    """Add ``c<col>``, the component of the named column, of which no value is frequent."""
+    own = roots.select(F.col("node").alias(col), F.col("root").alias("__root"))
+    return rows.join(own, col, "left").withColumn(f"c{col}", F.coalesce("__root", col)).drop("__root")
 
 
 def _residual_links(edges: DataFrame, roots: DataFrame, reps: DataFrame, work: Workspace, size: int, percent: int, rule: list[tuple[int, int]]) -> DataFrame:
@@ -300,12 +300,14 @@ def _residual_links(edges: DataFrame, roots: DataFrame, reps: DataFrame, work: W
     A star shows all links of a bucket only if each of its edges holds; other buckets are compared in full, here: blocks of
     members meet in one task, are pruned by their signatures and verified on their sets, and only links that join
     components become rows, fewer than there are members.  Buckets of equal members are compared once.  A bucket's members
-    meet in one task only in these blocks; joins by the hub of a star are split by adaptive execution alone.
+    meet in one task only in these blocks; a node is in at most BANDS edges, but the center of any number.
     """
-    told = _with_roots(edges, roots, "node", "center")
+    total = edges.count()
+    centers = _with_roots(edges.groupBy("center").agg(F.count(F.lit(1)).alias("led")), roots, "center")
+    told = lookup(_with_roots(edges, roots, "node"), centers, ["center"], "led", total)
     keys = told.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.max(F.col("cnode") != F.col("ccenter")).alias("open"))
     keys = work.save(keys.filter("open").select("key", "cnt"), "open")
-    held = lookup(edges, keys, ["key"], "cnt", edges.count())
+    held = lookup(edges, keys, ["key"], "cnt", total)
     members = held.select("key", "node").unionByName(held.select("key", F.col("center").alias("node"))).distinct()
     members = work.save(_with_roots(members, roots, "node").select("key", "node", F.col("cnode").alias("comp")), "members")
     alike = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
@@ -363,10 +365,11 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, miss:
     reps = full.select("row", "n", "sig", "words").join(met.select(F.col("node").alias("row")), "row", "left_semi")
     reps = work.save(reps, "reps")
     check = _Verifier(reps, work, words, percent, miss)
-    pairs = edges.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = work.save(edges.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     likely = work.save(check.prune(pairs), "likely")
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+    best = work.save(likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")), "best")
     links = work.save(check.confirm(best), "links0")
+    work.drop("pairs", "likely", "best")
     roots = components(links, work, "roots0_")
     more = work.save(_residual_links(edges, roots, reps, work, words, percent, check.rule), "links1")
     roots = components(links.unionByName(more), work, "roots1_")
