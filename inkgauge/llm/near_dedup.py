@@ -264,7 +264,7 @@ class _Verifier:
 
         one = self.reps.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
         two = self.reps.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        met = split_join(pairs.join(two, "b"), one, "a", "b", pairs.count())
+        met = split_join(pairs.join(two, "b"), one, "a", "b", pairs.count(), pairs)
         return met.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a bigint, b bigint, est double")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ class _Verifier:
 
         one = self.reps.select(F.col("row").alias("a"), F.col("words").alias("wa"))
         two = self.reps.select(F.col("row").alias("b"), F.col("words").alias("wb"))
-        met = split_join(pairs.select("a", "b").join(two, "b"), one, "a", "b", pairs.count())
+        met = split_join(pairs.select("a", "b").join(two, "b"), one, "a", "b", pairs.count(), pairs)
         return met.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
