@@ -32,49 +32,55 @@ def _escaped_role(col: Column) -> Column:
     return F.replace(escape(col), F.lit("\n"), F.lit("\\n"))
 
 
-def _doubled(link: DataFrame) -> DataFrame:
-    """Links of twice the length, with the smallest node that they start from or pass."""
-    far = link.alias("a").join(link.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
-    return far.select("a.tree", "a.node", "b.up", F.least("a.least", "b.least").alias("least"))
+def _lengthened(steps: DataFrame, link: DataFrame, by: int) -> DataFrame:
+    """Steps that go on by a link of length ``by``: ``score`` is that of the node they lead up to.
+
+    ``least`` is the smallest node that a link starts from or passes; it is null in the steps of paths, which start from leaves.
+    """
+    far = steps.alias("a").join(link.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+    least = F.when(F.col("a.least").isNotNull(), F.least("a.least", "b.least")).alias("least")
+    return far.select("a.tree", "a.node", "b.up", (F.col("a.above") + by).alias("above"), "b.score", least)
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """All (tree, leaf, node, above) of root-to-leaf paths; ``above`` counts the steps from the leaf up to the node.
+    """All (tree, leaf, node, above, score) of root-to-leaf paths; ``above`` counts the steps from the leaf up to the node.
 
-    ``nodes`` has tree, node and parent.  Self-joins double the length of known links (parent, grandparent, ...) until no
-    link is left, and each round doubles the known part of every path: log2(depth) rounds.
+    ``nodes`` has tree, node, parent and score, one row a node.  Self-joins double the length of known links (parent,
+    grandparent, ...) until no link is left, and each round doubles the known part of every path: log2(depth) rounds.  One
+    join a round lengthens links and paths, into one table of new rows; so the driver plans and watches one job, not two.
 
     A node whose parent is null, itself or missing is a root.  A loop of replies has no root of its own: its smallest node
     becomes one, as if it had no parent.
     """
     work = Workspace(nodes.sparkSession)
-    known = nodes.select("tree", F.col("node").alias("up"))
+    known = nodes.select("tree", F.col("node").alias("up"), "score")
     first = nodes.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).select("tree", "node", F.col("parent").alias("up"))
-    first = first.join(known, ["tree", "up"], "left_semi").select("tree", "node", "up", F.col("node").alias("least"))
+    first = first.join(known, ["tree", "up"]).select("tree", "node", "up", F.lit(1).cast("bigint").alias("above"), "score", F.col("node").alias("least"))
     first = work.save(first, "link0")
     most = first.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    is_path = F.col("least").isNull()
     for attempt in (0, 1):
-        link, k = first, 0
+        link, k, names = first, 0, [f"link{attempt}", f"leaves{attempt}"]
         inner = first.select("tree", F.col("up").alias("node")).distinct()
-        found = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("above"))
+        leaves = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", "node", F.col("node").alias("up"), F.lit(0).cast("bigint").alias("above"), "score")
+        work.save(leaves.withColumn("least", F.lit(None).cast("bigint")), names[-1])
         while not link.isEmpty() and 1 << k <= most:
-            step = found.join(link, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
-            found = work.save(found.unionByName(step), f"found{attempt}_{k}")
-            link = work.save(_doubled(link), f"link{attempt}_{k + 1}")
+            steps = work.read(first, *names).filter(is_path | (F.col("above") == 1 << k))
+            names.append(f"steps{attempt}_{k}")
+            link = work.save(_lengthened(steps, link, 1 << k), names[-1]).filter(~is_path)
             k += 1
         if link.isEmpty():
             break
         # no tree has so long a path: these links end in loops, and each node of a loop has seen all of it
         looped = link.select("tree", F.col("up").alias("node")).distinct()
         roots = link.join(looped, ["tree", "node"], "left_semi").select("tree", F.col("least").alias("node")).distinct()
-        first = work.save(first.join(roots, ["tree", "node"], "left_anti"), "cut")
-    return found
+        first = work.save(first.join(roots, ["tree", "node"], "left_anti"), "link1")
+    return work.read(first, *names).filter(is_path).select("tree", F.col("node").alias("leaf"), F.col("up").alias("node"), "above", "score")
 
 
-def best_branches(steps: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
+def best_branches(steps: DataFrame, top: int) -> DataFrame:
     """The ``top`` paths of each tree by the sum of their nodes' scores (then the smaller leaf): tree, leaf, rank."""
-    scored = steps.join(nodes.select("tree", "node", "score"), ["tree", "node"])
-    branches = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+    branches = steps.groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
     by_score = [F.desc("score"), F.asc("leaf")]
     # first within parts of a tree, so that a tree with very many branches isn't ranked by one task
     part = Window.partitionBy("tree", F.pmod(F.xxhash64("leaf"), F.lit(64))).orderBy(*by_score)
@@ -108,8 +114,8 @@ def format_trees(nodes: DataFrame, *, top: int = 1, loss_roles: tuple[str, ...]
     row = F.struct("parent", "role", "text", "score")
     nodes = work.save(nodes.groupBy("tree", "node").agg(F.min(row).alias("r")).select("tree", "node", "r.*"), "nodes")
     steps = paths(nodes)
-    chosen = best_branches(steps, nodes, top)
-    turns = steps.join(chosen, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    chosen = best_branches(steps, top)
+    turns = steps.drop("score").join(chosen, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     head, body = F.concat(F.lit(TURN), _escaped_role(F.col("role")), F.lit("\n")), escape(F.col("text"))
     turns = turns.select("tree", "leaf", "rank", "above", head.alias("head"), body.alias("body"), F.col("role").isin(*loss_roles).alias("loss"))
     length = F.char_length("head") + F.char_length("body") + len(END) + 1

@@ -47,6 +47,10 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, like: DataFrame, *names: str) -> DataFrame:
+        """The rows of several saved tables with the columns of ``like``, by one scan: no plan grows with their number."""
+        return self.spark.read.schema(like.schema).parquet(*[f"{self.root}/{name}" for name in names])
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
         for name in names:

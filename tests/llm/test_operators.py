@@ -698,6 +698,24 @@ def test_chat_long_thread(spark):
     assert r.n_turns == 300 and re.findall(r"\n(\d+)<", r.formatted) == [str(k) for k in range(300)]
 
 
+def test_chat_saves_one_table_of_new_rows_a_round(spark, monkeypatch):
+    saved = {}
+
+    class Counted(chat.Workspace):
+        def save(self, df, name):
+            out = super().save(df, name)
+            saved[name] = out.count()
+            return out
+
+    monkeypatch.setattr(chat, "Workspace", Counted)
+    df = spark.range(100).selectExpr("id % 2 AS conv_id", "id AS turn", "'user' AS role", "'x' AS text")
+    assert [r.n_turns for r in chat.format_trees(chat.threads(df)).collect()] == [50, 50]
+    assert len(saved) == 3 + 6  # nodes, links, leaves, and a table a round: 2 ** 6 >= 50
+    steps = sum(n for name, n in saved.items() if name.startswith(("leaves", "steps")))
+    links = sum(2 * max(50 - 2**k, 0) for k in range(1, 7))
+    assert steps == 100 + links  # each node of a path once
+
+
 def test_chat_loops_are_cut_and_null_trees_kept(spark):
     nodes = [
         (1, 1, 2, "u", "a", 0.0),  # 1 -> 2 -> 3 -> 1: 1 becomes the root
