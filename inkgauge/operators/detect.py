@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let_sql, quoted
 from ..functions.numeric import round_exact, round_sql
 from ..functions.text import PREVIEW_CHUNK, PREVIEW_WIRE_CHUNK, clean_text, preview, words
-from ..scorers import add_scores
+from ..scorers import ExpressionScorer, add_scores
 from .bands import DEFAULT, UNRELIABLE, Band, band_label, band_sql
 from .windows import WINDOW_WORDS, window_array
 
@@ -92,6 +92,8 @@ def _results(step: DataFrame, scorer: Any, scores: str, bands: Sequence[Band], m
     step = step.withColumns(means)
     # the position of the largest score is the index of its first chunk
     first_top = let_sql("t", "transform(__chunks, x -> x.score)", "CAST(array_position(t, array_max(t)) AS INT) - 1")
+    # without windows a model takes no time, but an expression has none even then
+    timed = f"size({scores}) > 0" if isinstance(scorer, ExpressionScorer) else "true"
     fields = {
         "score": round_sql("__score", 4),
         "band": f"CASE WHEN n_words >= {min_words} THEN {band_sql('__score', bands)} ELSE {quoted(UNRELIABLE)} END",
@@ -105,7 +107,7 @@ def _results(step: DataFrame, scorer: Any, scores: str, bands: Sequence[Band], m
         "calibrated": str(bool(scorer.calibrated)).lower(),
         "most_ai_chunk": first_top,
         "chunks": "__chunks",
-        "latency_s": f"aggregate({scores}, 0D, (t, x) -> t + x.latency_s)",
+        "latency_s": f"CASE WHEN {timed} THEN aggregate({scores}, 0D, (t, x) -> t + x.latency_s) END",
     }
     found = F.expr(f"named_struct({', '.join(f'{quoted(k)}, {v}' for k, v in fields.items())})")
     return step.withColumn("r", found).drop("__chunks", "__score", "__sure")
