@@ -22,3 +22,27 @@ def test_expressions_have_no_time_where_documents_have_no_words(spark, data, tmp
         want = db.execute(report_oracles.ORACLE_SQL["score_latency"]).fetchall()
     found = [tuple(r) for r in report_queries.score_latency(spark, folder).collect()]
     assert sorted(found) == sorted(want) and ("expression", 0, False, True) in found
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange SinglePartition") + df._jdf.queryExecution().executedPlan().toString().count("TakeOrdered")
+
+
+def test_large_samples_do_not_meet_in_one_task(spark, monkeypatch):
+    """Also where equal keys stand at the edge, and for null and empty keys, which have the same hash."""
+    keys = [None if k % 50 == 0 else "" if k % 50 == 1 else str(k % 300) for k in range(1000)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, i int").repartition(3)
+    assert not _exchanges(stats.seeded_sample(df, "key", 2_000_000_000))
+    for n in (1, 17, 500, 999, 1000, 5000):
+        want = sorted(str(r.key) for r in stats.seeded_sample(df, "key", n, 3).collect())
+        monkeypatch.setattr(stats, "FEW", 0)
+        found = sorted(str(r.key) for r in stats.seeded_sample(df, "key", n, 3).collect())
+        monkeypatch.undo()
+        assert found == want and len(found) == min(n, 1000)
+
+
+def test_chunk_lines_clean_texts_once(spark, data):
+    """No filter inferred from the generator repeats the cleaning below it."""
+    plan = report_queries.chunk_lines(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    once = report_queries.card_lines(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</think>") == once.count("</think>") > 0
