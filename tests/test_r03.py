@@ -46,3 +46,16 @@ def test_chunk_lines_clean_texts_once(spark, data):
     plan = report_queries.chunk_lines(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     once = report_queries.card_lines(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("</think>") == once.count("</think>") > 0
+
+
+def test_draws_are_not_written_out_row_by_row(spark, monkeypatch):
+    """Intervals of scores with few values come from vectors, the same ones as by grouping."""
+    rows = [(k, k % 4, (k * 7) % 5 % 4, (k * 37 % 101) / 101, (k * 13 % 17) / 17) for k in range(60)]
+    df = spark.createDataFrame(rows, "sample_id bigint, gt_bucket int, model_bucket int, model_score double, cosine_score double").repartition(3)
+    told = lambda: {r.stat: (round(r.low, 9), round(r.high, 9)) for r in stats.bootstrap_cis(df, n_boot=12, seed=3).collect()}
+    if hasattr(stats, "VALUES"):
+        monkeypatch.setattr(stats, "VALUES", 5)
+    grouped = told()
+    monkeypatch.undo()
+    monkeypatch.setattr(stats, "resampled", None)
+    assert told() == grouped and len(grouped) == 5
